@@ -8,7 +8,7 @@ probability (1 - 0.8^ROWS)^BANDS, about 2.5e-7; links are then confirmed on the
 
 Groups of copies never become pairs: equal sets are one class; each bucket of a band is first a star around the class
 that shares most with others; only buckets that links leave in several components are compared further, block by block
-inside tasks, and only pairs whose sketches allow the threshold leave the task.
+inside tasks, and only pairs that join components leave the task.
 """
 
 from __future__ import annotations
@@ -134,39 +134,59 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * union).select("a", "b")
 
 
-def _block_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose sketches allow the threshold.  rest: band, rep, comp, size.
+def _reaches(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * common >= percent * (len(one) + len(other) - common)
 
-    Buckets are cut into blocks; a task compares two blocks in memory."""
+
+def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that join components within buckets.  rest: band, no, rep, comp, size.
+
+    Buckets are cut into blocks; a task compares two blocks in memory: first the sketches, then, for pairs that they
+    allow and that meet in no earlier band, the sets in 32 bits, which can only overstate the similarity.  A pair
+    leaves the task if it joins what the task hasn't joined yet, so fewer pairs leave than classes come in."""
     least = int(T * (percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / T) ** 0.5))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1).values.to_numpy().view(np.uint64)
             offsets = batch.column(1).offsets.to_numpy()
-            rows = [mix(sketch(values[a:b])).astype(np.uint16).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(rows, pa.binary())], names=["rep", "n", "places"])
+            every = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            places = [mix(sketch(x)).astype(np.uint16).tobytes() for x in every]
+            short = [np.unique(x.astype(np.uint32)).tobytes() for x in every]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.binary()), pa.array(short, pa.binary())], names=["rep", "places", "short"])
 
     wanted = rest.select("rep").distinct()
-    folded = keep(sets.join(wanted, "rep").select("rep", "shingles").mapInArrow(fold, "rep bigint, n bigint, places binary"), "places")
+    folded = keep(sets.join(wanted, "rep").select("rep", "shingles").mapInArrow(fold, "rep bigint, places binary, short binary"), "places")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     rows = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A block meets itself and every other once.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "no", "block", "rep", "comp")
     rows = rows.join(folded, "rep")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", kind="stable")
         places = np.frombuffer(b"".join(rows["places"]), np.uint16).reshape(len(rows), T)
-        rep, comp, n, block = (rows[c].to_numpy() for c in ("rep", "comp", "n", "block"))
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        short = [np.frombuffer(x, np.uint32) for x in rows["short"]]
+        n = np.array([len(x) for x in short])
+        rep, block, comp = (rows[c].to_numpy() for c in ("rep", "block", "comp"))
+        comp = comp.copy()
+        i, j, no = rows["i"].iloc[0], rows["j"].iloc[0], rows["no"].iloc[0]
         found = []
-        for row in range(len(rows)):
-            against = np.flatnonzero((rep > rep[row]) & (comp != comp[row]) & (100 * np.minimum(n, n[row]) >= percent * np.maximum(n, n[row])) & ((i == j) | (block != block[row])))
-            if len(against):
-                same = (places[against] == places[row]).sum(axis=1)
-                found.append(np.stack([np.full(int((same >= least).sum()), rep[row]), rep[against[same >= least]]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        for row in range(len(rows) - 1):
+            later = slice(row + 1, None)
+            may = (comp[later] != comp[row]) & (100 * np.minimum(n[later], n[row]) >= percent * np.maximum(n[later], n[row]))
+            against = row + 1 + np.flatnonzero(may & ((i == j) | (block[later] != block[row])))
+            if not len(against):
+                continue
+            same = places[against] == places[row]
+            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            for other in against[(same.sum(axis=1) >= least) & (first == no)].tolist():
+                if comp[other] != comp[row] and _reaches(short[row], short[other], percent):
+                    found.append((rep[row], rep[other]))
+                    comp[comp == comp[other]] = comp[row]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"b": pairs[:, 0], "a": pairs[:, 1]})
 
     return rows.groupBy("band", "i", "j").applyInPandas(compare, "b bigint, a bigint").distinct()
@@ -182,7 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = keep(sketches(docs, words), "sketches")
     full = found.where("n_shingles > 0 and doc_id is not null")
     reps = keep(full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("d1", "d2", F.col("r.doc_id").alias("rep"), "r.bands"), "classes")
-    bands = reps.select("rep", F.explode("bands").alias("band"))
+    bands = reps.select("rep", F.posexplode("bands").alias("no", "band"))
     sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     buckets = keep(bands.join(sizes, "band"), "buckets")
     mass = buckets.groupBy("rep").agg(F.sum("size").alias("mass"))
@@ -193,11 +213,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = keep(_linked(stars, sets, percent), "links")
     parts = keep(components(links), "parts")
     # Buckets of three classes or more that stay in several components: their other pairs.
-    labelled = buckets.where("size > 2").join(parts, buckets["rep"] == parts["node"], "left").select("band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    labelled = buckets.where("size > 2").join(parts, buckets["rep"] == parts["node"], "left").select("band", "no", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     open_ = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     rest = keep(labelled.join(open_, "band"), "rest")
     if not rest.isEmpty():
-        more = _linked(_block_pairs(rest, sets, percent), sets, percent)
+        more = _linked(_block_links(rest, sets, percent).select("a", "b"), sets, percent)
         links = keep(links.union(more), "links")
         parts = keep(components(links), "parts")
     named = reps.join(parts, reps["rep"] == parts["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from sigloom.llm import minhash, packing, tokenout
+from sigloom.llm import decontaminate, embeddings, lm, minhash, packing, quality, secrets, tokenout, toxicity
 
 QUERIES = {
     "op1_token_output": tokenout.op1_token_output,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op4_secret_scans": secrets.op4_secret_scans,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_embedding_near_dedup": embeddings.op6_embedding_near_dedup,
+    "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
-SQL: dict[str, str] = {}
+SQL = {"op9_benchmark_decontamination": decontaminate.OP9_SQL}
