@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from sigloom.plans import base, reads, state_queries, texts, vector_queries
+
+MODULES = (reads, state_queries, texts, vector_queries)
+QUERIES, SQL = base.QUERIES, base.SQL
