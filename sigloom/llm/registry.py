@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sigloom.llm import decontaminate, embeddings, lm, minhash, packing, quality, secrets, tokenout, toxicity
+from sigloom.llm import decontaminate, embeddings, licences, lm, minhash, packing, quality, secrets, tokenout, toxicity
 
 QUERIES = {
     "op1_token_output": tokenout.op1_token_output,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op3_licence_scans": licences.op3_licence_scans,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_embedding_near_dedup": embeddings.op6_embedding_near_dedup,
