@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigloom.plans import base, matching, reads, state_queries, stream_queries, texts, vector_queries
+from sigloom.plans import base, matching, reads, rules, state_queries, stream_queries, texts, vector_queries
 
-MODULES = (matching, reads, state_queries, stream_queries, texts, vector_queries)
+MODULES = (matching, reads, rules, state_queries, stream_queries, texts, vector_queries)
 QUERIES, SQL = base.QUERIES, base.SQL
