@@ -140,9 +140,9 @@ def _reaches(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
 
 
 def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that join components within buckets.  rest: band, no, rep, comp, size.
+    """Pairs (a, b) that join components within buckets.  rest: band, no, rep, comp.
 
-    Buckets are cut into blocks; a task compares two blocks in memory: first the sketches, then, for pairs that they
+    Buckets are cut into blocks; a task compares two blocks in memory, one of them outside the largest component: first the sketches, then, for pairs that they
     allow and that meet in no earlier band, the sets in 32 bits, which can only overstate the similarity.  A pair
     leaves the task if it joins what the task hasn't joined yet, so fewer pairs leave than classes come in."""
     least = int(T * (percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / T) ** 0.5))
@@ -158,10 +158,15 @@ def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     wanted = rest.select("rep").distinct()
     folded = keep(sets.join(wanted, "rep").select("rep", "shingles").mapInArrow(fold, "rep bigint, places binary, short binary"), "places")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    rows = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # A block meets itself and every other once.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # The largest component of a bucket needs no comparison with itself: its blocks meet those of the others only.
+    parts = rest.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    top = parts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n_all"))
+    rows = rest.join(top, "band").withColumn("minor", F.col("comp") != F.col("top"))
+    m, most = (F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int") for n in (F.col("n_all") - F.col("n_top"), F.col("n_top")))
+    dealt = F.xxhash64("rep")
+    rows = rows.withColumn("block", F.when(F.col("minor"), F.pmod(dealt, m)).otherwise(m + F.pmod(dealt, most)).cast("int"))
+    # Any other pair of blocks meets once.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), m + most - 1).otherwise(m - 1))))
     rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "no", "block", "rep", "comp")
     rows = rows.join(folded, "rep")
 
