@@ -1,15 +1,20 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays.
+"""LM scoring: an interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, kept as sorted arrays.
 
-Tasks count what they read and send sorted arrays to the shard of each word or bigram; a shard's task adds them up and
+Tasks count what they read and send sorted arrays to the shard of each word or n-gram; a shard's task adds them up and
 writes one file of sorted keys and counts to the shared folder (under a new name, then renamed, so that repeated tasks
 do no harm).  Scoring workers memory-map those files and look up whole batches of n-grams at once.  Nothing that grows
-with the corpus passes the driver: it sees the sizes of shards and eight counts of counts.
+with the corpus passes the driver: it sees the sizes of shards and twelve counts of counts.
+
+A trigram's key is the number of its first two words' bigram in the order of all shards, times the words, plus its last
+word: exact, and in the shard of that bigram.  As usual, the bigrams below trigrams count the different words before
+them, and those at a text's start, which have none, their occurrences; a text's first word has the bigram model alone.
 
 The shared folder must be mounted where executors run, as files can't be mapped otherwise.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,10 +33,14 @@ from sigloom.llm.textbatch import chunks, flat, lower, mix, word_bounds, word_ha
 
 #: Tokens that a task counts before it sends sums; tokens for each shard of bigrams; shards at least.
 FLUSH, SHARD_TOKENS, SHARDS = 4_000_000, 4_000_000, 64
+#: Order of the query's model.
+ORDER = 3
 #: Upper bits of a word's hash that name its shard.
 WORD_BITS = 8
 #: Words in a stretch of the statistics.
 STRETCH = 1 << 16
+#: Counts of trigrams from here up are kept apart from the bytes that hold the others.
+BYTE = 255
 END = np.uint64(0xE0D)
 
 PARTS = "shard bigint, n bigint, a binary, b binary"
@@ -71,8 +80,12 @@ def _local(folder: str) -> str:
 
 
 def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
+    _write_more(folder, name, dict(enumerate(arrays)))
+
+
+def _write_more(folder: str, name: str, arrays: dict[int, np.ndarray]) -> None:
     os.makedirs(folder, exist_ok=True)
-    for k, array in enumerate(arrays):
+    for k, array in arrays.items():
         temporary = f"{folder}/.{uuid.uuid4().hex}"
         array.tofile(temporary)
         os.replace(temporary, f"{folder}/{name}-{k}")
@@ -112,6 +125,9 @@ class Model:
     lower_discounts: tuple[float, ...] = (0.0, 0.0, 0.0)
     continuations: int = 0
     lower_rest: float = 1.0
+    order: int = 2
+    pair_sizes: list[int] = field(default_factory=list)
+    middle_discounts: tuple[float, ...] = (0.0, 0.0, 0.0)
 
     def __post_init__(self) -> None:
         self._maps: dict = {}
@@ -151,19 +167,62 @@ class Model:
         before[starts[:-1]] = self.words
         return before, (before.astype(np.uint64) * np.uint64(self.words + 1)) + ids.astype(np.uint64)
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shard of each bigram and its place there (-1: unknown)."""
+        keys, back = np.unique(keys, return_inverse=True)
         shard = (mix(keys) % np.uint64(self.shards)).astype(np.int64)
-        order = np.lexsort((keys, shard))
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            some = order[edges[s] : edges[s + 1]]
+        place = np.full(len(keys), -1, np.int64)
+        for s, some in _by_shard(shard):
             known = self._mapped(f"pair{s}", 0, np.uint64)
-            if len(some) and len(known):
+            if len(known):
                 spot = np.minimum(np.searchsorted(known, keys[some]), len(known) - 1)
-                out[some] = np.where(known[spot] == keys[some], self._mapped(f"pair{s}", 1, np.uint32)[spot], 0)
+                place[some] = np.where(known[spot] == keys[some], spot, -1)
+        return shard[back], place[back]
+
+    def of_pairs(self, shard: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count, count below trigrams and share left to the bigrams after it, of the bigram at each place.
+
+        Only bigrams met more than once are in a file; for others these are 1, 1 and the first discount."""
+        counted, below, share = (place >= 0).astype(np.int64), (place >= 0).astype(np.int64), np.full(len(place), self.discounts[0])
+        for s, some in _by_shard(np.where(place >= 0, shard, -1)):
+            met = self._mapped(f"more{s}", 0, np.uint32)
+            if len(met):
+                spot = np.minimum(np.searchsorted(met, place[some].astype(np.uint32)), len(met) - 1)
+                hit = met[spot] == place[some]
+                some, spot = some[hit], spot[hit]
+                counted[some] = self._mapped(f"more{s}", 1, np.uint32)[spot]
+                if self.order == 3 and self.middle_discounts[0]:
+                    below[some] = self._mapped(f"more{s}", 2, np.uint32)[spot]
+                    share[some] = self._mapped(f"more{s}", 3, np.float64)[spot]
+        return counted, below, share
+
+    def trigrams(self, shard: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How often each word follows the bigram at the place."""
+        out = np.zeros(len(ids), np.int64)
+        bases = self.pair_bases()
+        for s, some in _by_shard(np.where((place >= 0) & (ids >= 0), shard, -1)):
+            known = self._mapped(f"tri{s}", 0, np.uint64)
+            if len(known):
+                keys = (place[some] + bases[s]).astype(np.uint64) * np.uint64(self.words + 1) + ids[some].astype(np.uint64)
+                order = np.argsort(keys)
+                keys, some = keys[order], some[order]
+                spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[spot] == keys
+                out[some[hit]] = self.trigram_counts(s, spot[hit])
         return out
 
+    def trigram_counts(self, shard: int, spot: np.ndarray) -> np.ndarray:
+        counts = self._mapped(f"tri{shard}", 1, np.uint8)[spot].astype(np.int64)
+        many = np.flatnonzero(counts == BYTE)
+        if len(many):
+            large = np.searchsorted(self._mapped(f"tri{shard}", 2, np.int64), spot[many])
+            counts[many] = self._mapped(f"tri{shard}", 3, np.int64)[large]
+        return counts
+
+    def pair_bases(self) -> np.ndarray:
+        """The number of each shard's first bigram in the order of all shards."""
+        return np.concatenate([[0], np.cumsum(np.array(self.pair_sizes, np.int64))])
+
     def statistics(self, ids: np.ndarray) -> np.ndarray:
         """For each word: total as context, its followers met once, twice, more often; and its continuation count."""
         unique, back = np.unique(ids, return_inverse=True)
@@ -180,17 +239,37 @@ class Model:
         ids, counts = self.ids(hashes)
         before, keys = self.bigrams(ids, starts)
         both = (ids >= 0) & (before >= 0)
-        pair = np.zeros(len(ids), np.int64)
-        pair[both] = self.count(keys[both])
+        shard, place = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
+        shard[both], place[both] = self.places(keys[both])
+        counted, below, share = self.of_pairs(shard, place)
+        pair = below if self.order == 3 else counted
+        discounts = self.middle_discounts if self.order == 3 else self.discounts
         own, context = self.statistics(ids), self.statistics(before)
         follow = own[:, 4]
         low = np.full(len(ids), self.lower_rest / (self.words + 1))
         if self.continuations:
             low += np.maximum(follow - _discount(self.lower_discounts, follow), 0) / self.continuations
         total = np.maximum(context[:, 0], 1)
-        rest = context[:, 1:4] @ np.array(self.discounts) / total
-        high = np.maximum(pair - _discount(self.discounts, pair), 0) / total + rest * low
-        return np.log10(np.where(context[:, 0] > 0, high, low)), counts
+        rest = context[:, 1:4] @ np.array(discounts) / total
+        high = np.maximum(pair - _discount(discounts, pair), 0) / total + rest * low
+        p = np.where(context[:, 0] > 0, high, low)
+        if self.order == 3:
+            at = np.ones(len(ids), bool)
+            at[starts[:-1]] = False
+            at = np.flatnonzero(at)
+            at = at[place[at - 1] >= 0]
+            three = self.trigrams(shard[at - 1], place[at - 1], ids[at])
+            p[at] = np.maximum(three - _discount(self.discounts, three), 0) / counted[at - 1] + share[at - 1] * p[at]
+        return np.log10(p), counts
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard from 0 up with the places of its items, in their order."""
+    order = np.argsort(shard, kind="stable")
+    found, first = np.unique(shard[order], return_index=True)
+    for s, a, b in zip(found.tolist(), first, [*first[1:], len(order)][: len(first)], strict=True):
+        if s >= 0:
+            yield s, order[a:b]
 
 
 def _discount(discounts: tuple[float, ...], counts: np.ndarray) -> np.ndarray:
@@ -216,7 +295,7 @@ def _split(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Record
     """Sums by key as a row of packed arrays for each shard."""
     order = np.argsort(shard, kind="stable")
     found, first = np.unique(shard[order], return_index=True)
-    edges = [*first[1:], len(order)]
+    edges = [*first[1:], len(order)][: len(first)]
     groups = [order[a:b] for a, b in zip(first, edges, strict=True)]
     return _parts(found.astype(np.int64), [len(g) for g in groups], [_pack(keys[g]) for g in groups], [_pack_counts(counts[g]) for g in groups])
 
@@ -246,10 +325,12 @@ def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _sum_by_key(np.concatenate([_unpack(x) for x in rows["a"]]), np.concatenate([_unpack_counts(x) for x in rows["b"]]))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = 2) -> Model:
     """Counts every whole text of ``docs`` (text) and writes the model.  Null and empty texts are an end each."""
+    if order not in (2, 3):
+        raise ValueError(f"the order must be 2 or 3, not {order}")
     folder = _local(new_folder(docs.sparkSession, "lm"))
-    model = Model(folder)
+    model = Model(folder, order=order)
 
     # Words go to shards by their upper bits, so the shards in a row are sorted.
     bits = model.word_bits
@@ -266,6 +347,7 @@ def train(docs: DataFrame) -> Model:
         model.word_sizes[r.shard] = r.words
         model.tokens += r.tokens
     model.shards = max(SHARDS, -(-model.tokens // SHARD_TOKENS))
+    _release(docs.sparkSession)
 
     def pair_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return model.bigrams(model.ids(hashes)[0], starts)[1]
@@ -273,19 +355,36 @@ def train(docs: DataFrame) -> Model:
     pairs = _counted(docs, pair_keys, lambda keys: (mix(keys) % np.uint64(model.shards)).astype(np.int64))
     size = np.uint64(model.words + 1)
 
-    def write_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merged(rows)
-        _write(folder, f"pair{key[0]}", keys, counts.astype(np.uint32))
+    def summary(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        """Counts of counts of some bigrams, and what their words are to know of them."""
         context, word = keys // size, keys % size
         out = [("", 0, [], [int((counts == c).sum()) for c in (1, 2, 3, 4)])]
-        firsts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        columns = [np.add.reduceat(x.astype(np.uint64), firsts) for x in (counts, counts == 1, counts == 2, counts >= 3)]
+        firsts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, int)
+        columns = [np.add.reduceat(x.astype(np.uint64), firsts) if len(keys) else x.astype(np.uint64) for x in (counts, counts == 1, counts == 2, counts >= 3)]
         out += _stretches("context", context[firsts], np.stack(columns, axis=1))
         found, times = np.unique(word, return_counts=True)
         out += _stretches("word", found, times.astype(np.uint64)[:, None])
         return pd.DataFrame({"kind": [x[0] for x in out], "stretch": [x[1] for x in out], "ids": [_pack(np.array(x[2], np.uint64)) for x in out], "counts": [_pack_counts(np.ascontiguousarray(x[3]).ravel() if len(x[2]) else np.array(x[3])) for x in out]})
 
-    partial = keep(pairs.groupBy("shard").applyInPandas(write_pairs, "kind string, stretch bigint, ids binary, counts binary"), "statistics")
+    summaries = "kind string, stretch bigint, ids binary, counts binary"
+
+    def write_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _merged(rows)
+        more = np.flatnonzero(counts > 1)
+        _write(folder, f"pair{key[0]}", keys)
+        _write(folder, f"more{key[0]}", more.astype(np.uint32), counts[more].astype(np.uint32))
+        if order == 3:
+            return pd.DataFrame({"shard": [key[0]], "pairs": [len(keys)]})
+        return summary(keys, counts)
+
+    if order == 3:
+        model.pair_sizes = [0] * model.shards
+        for r in pairs.groupBy("shard").applyInPandas(write_pairs, "shard bigint, pairs bigint").collect():
+            model.pair_sizes[r.shard] = r.pairs
+        _release(docs.sparkSession)
+        partial = keep(_trigrams(docs, model, summary, summaries), "statistics")
+    else:
+        partial = keep(pairs.groupBy("shard").applyInPandas(write_pairs, summaries), "statistics")
 
     def write_statistics(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         table = np.zeros((STRETCH, 5), np.uint64)
@@ -307,17 +406,90 @@ def train(docs: DataFrame) -> Model:
     for r in partial.where("kind = ''").select("counts").toLocalIterator():
         high += _unpack_counts(bytes(r.counts)).astype(np.int64)
     drop(partial)
-    model.discounts, model.lower_discounts = modified_discounts(high.tolist()), modified_discounts(low[:4])
+    _release(docs.sparkSession)
+    if order == 3:
+        model.middle_discounts = modified_discounts(high.tolist())
+    else:
+        model.discounts = modified_discounts(high.tolist())
+    model.lower_discounts = modified_discounts(low[:4])
     model.continuations = low[5]
     if low[5]:
         model.lower_rest = float(np.dot(model.lower_discounts, [low[0], low[1], low[4]]) / low[5])
     return model
 
 
+def _release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of jobs that are over: it does so after a collection in the driver."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) -> DataFrame:
+    """Writes the trigrams, sets their discounts and returns the summaries of the bigrams as these count below them;
+    their task writes what a bigram counts there, and the share of the words after it that is left to the bigrams."""
+    spark, folder = docs.sparkSession, model.folder
+    size, bases = np.uint64(model.words + 1), model.pair_bases()
+
+    def keys_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        ids = model.ids(hashes)[0]
+        shard, place = model.places(model.bigrams(ids, starts)[1])
+        at = np.ones(len(ids), bool)
+        at[starts[:-1]] = False
+        at = np.flatnonzero(at)
+        return (bases[shard[at - 1]] + place[at - 1]).astype(np.uint64) * size + ids[at].astype(np.uint64)
+
+    def shard_of(keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(bases, (keys // size).astype(np.int64), side="right") - 1
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _merged(rows)
+        large = np.flatnonzero(counts >= BYTE)
+        _write(folder, f"tri{key[0]}", keys, np.minimum(counts, BYTE).astype(np.uint8), large.astype(np.int64), counts[large].astype(np.int64))
+        return pd.DataFrame({"n": [[int((counts == c).sum()) for c in (1, 2, 3, 4)]]})
+
+    counted = _counted(docs, keys_of, shard_of).groupBy("shard").applyInPandas(write, "n array<bigint>")
+    found = counted.select([F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(4)]).first()
+    model.discounts = modified_discounts([int(x or 0) for x in found])
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bigrams that end a shard's trigrams; and for each shard a row, as one may have no such bigram."""
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                yield _parts(np.array([s]), [0], [b""], [b""])
+                known = model._mapped(f"tri{s}", 0, np.uint64)
+                if len(known):
+                    middle = np.asarray(model._mapped(f"pair{s}", 0, np.uint64))[(known // size).astype(np.int64) - bases[s]] % size
+                    keys, counts = np.unique(middle * size + known % size, return_counts=True)
+                    more = model.of_pairs(*model.places(keys))[0] > 1  # the others have one word before them
+                    keys, counts = keys[more], counts[more]
+                    yield _split(keys, counts, (mix(keys) % np.uint64(model.shards)).astype(np.int64))
+
+    def middle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        s = key[0]
+        keys, more = np.asarray(model._mapped(f"pair{s}", 0, np.uint64)), np.asarray(model._mapped(f"more{s}", 0, np.uint32))
+        ends, times = _merged(rows)
+        counted = np.ones(len(keys), np.uint64)
+        counted[more] = model._mapped(f"more{s}", 1, np.uint32)
+        counts = counted.copy()
+        inside = more[keys[more] // size != np.uint64(model.words)]
+        counts[inside] = times[np.searchsorted(ends, keys[inside])]
+        known = model._mapped(f"tri{s}", 0, np.uint64)
+        left = np.zeros(len(keys))
+        if len(known):
+            discount = _discount(model.discounts, model.trigram_counts(s, np.arange(len(known))))
+            left = np.bincount((known // size).astype(np.int64) - bases[s], weights=discount, minlength=len(keys))
+        _write_more(folder, f"more{s}", {2: counts[more].astype(np.uint32), 3: left[more] / counted[more]})
+        return summary(keys, counts)
+
+    _release(spark)
+    shards = spark.range(0, model.shards, 1, min(model.shards, 1 << 15))
+    return shards.mapInArrow(below, PARTS).groupBy("shard").applyInPandas(middle, schema)
+
+
 def _stretches(kind: str, ids: np.ndarray, values: np.ndarray) -> list[tuple]:
     stretch = (ids // np.uint64(STRETCH)).astype(np.int64)
     edges = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]])) if len(ids) else np.zeros(0, int)
-    return [(kind, int(stretch[a]), ids[a:b], values[a:b]) for a, b in zip(edges, [*edges[1:], len(ids)], strict=True)]
+    return [(kind, int(stretch[a]), ids[a:b], values[a:b]) for a, b in zip(edges, [*edges[1:], len(ids)][: len(edges)], strict=True)]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -338,18 +510,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
+def train_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
     """Learns from the rows whose crc32(doc_id as text) mod 5 isn't 1 and scores all.
 
     Null texts count as empty: an end alone.  Rows with a null doc_id are learnt from.  Repeated rows count each.  With
     nothing to learn from, every token has probability 1 (one unknown word).  An empty table gives no rows.
     """
     held_out = F.coalesce(fold_of("doc_id", 5) == 1, F.lit(False))
-    model = train(docs.where(~held_out))
+    model = train(docs.where(~held_out), order)
     found = score(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), *found.columns[1:])
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all ``documents``."""
-    return train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ORDER)
