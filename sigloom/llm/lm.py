@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.quality import fold_of
 from sigloom.llm.store import drop, keep, new_folder
-from sigloom.llm.textbatch import chunks, flat, lower, mix, word_bounds, word_hashes
+from sigloom.llm.textbatch import chunks, flat, fresh_seed, lower, mix, word_bounds, word_hashes
 
 #: Tokens that a task counts before it sends sums; tokens for each shard of bigrams; shards at least.
 FLUSH, SHARD_TOKENS, SHARDS = 4_000_000, 4_000_000, 64
@@ -96,12 +96,12 @@ def _map(folder: str, name: str, k: int, kind: type) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
 
 
-def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(column: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's words and its end, in a row, and the first of each text."""
     data, offsets = flat(column)
     data = lower(data)
     first, last, bounds = word_bounds(data, offsets)
-    hashes = word_hashes(data, first, last)
+    hashes = word_hashes(data, first, last, seed)
     hashes[hashes == END] += np.uint64(1)
     n = len(column)
     starts = bounds + np.arange(n + 1)
@@ -128,6 +128,7 @@ class Model:
     order: int = 2
     pair_sizes: list[int] = field(default_factory=list)
     middle_discounts: tuple[float, ...] = (0.0, 0.0, 0.0)
+    seed: int = 0
 
     def __post_init__(self) -> None:
         self._maps: dict = {}
@@ -300,7 +301,7 @@ def _split(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Record
     return _parts(found.astype(np.int64), [len(g) for g in groups], [_pack(keys[g]) for g in groups], [_pack_counts(counts[g]) for g in groups])
 
 
-def _counted(docs: DataFrame, keys_of: Callable, shard_of: Callable) -> DataFrame:
+def _counted(docs: DataFrame, seed: int, keys_of: Callable, shard_of: Callable) -> DataFrame:
     """Adds up keys inside each task and sends the sums to their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +312,7 @@ def _counted(docs: DataFrame, keys_of: Callable, shard_of: Callable) -> DataFram
             return _split(keys, counts, shard_of(keys))
 
         for batch in chunks(batches):
-            held.append(keys_of(*tokens_of(batch.column(0))))
+            held.append(keys_of(*tokens_of(batch.column(0), seed)))
             if sum(map(len, held)) >= FLUSH:
                 yield sums()
                 held = []
@@ -330,11 +331,11 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     if order not in (2, 3):
         raise ValueError(f"the order must be 2 or 3, not {order}")
     folder = _local(new_folder(docs.sparkSession, "lm"))
-    model = Model(folder, order=order)
+    model = Model(folder, order=order, seed=fresh_seed())
 
     # Words go to shards by their upper bits, so the shards in a row are sorted.
     bits = model.word_bits
-    word_parts = _counted(docs, lambda hashes, starts: hashes, lambda keys: (keys >> np.uint64(64 - bits)).astype(np.int64))
+    word_parts = _counted(docs, model.seed, lambda hashes, starts: hashes, lambda keys: (keys >> np.uint64(64 - bits)).astype(np.int64))
 
     def write_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(rows)
@@ -352,7 +353,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     def pair_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return model.bigrams(model.ids(hashes)[0], starts)[1]
 
-    pairs = _counted(docs, pair_keys, lambda keys: (mix(keys) % np.uint64(model.shards)).astype(np.int64))
+    pairs = _counted(docs, model.seed, pair_keys, lambda keys: (mix(keys) % np.uint64(model.shards)).astype(np.int64))
     size = np.uint64(model.words + 1)
 
     def summary(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
@@ -447,7 +448,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
         _write(folder, f"tri{key[0]}", keys, np.minimum(counts, BYTE).astype(np.uint8), large.astype(np.int64), counts[large].astype(np.int64))
         return pd.DataFrame({"n": [[int((counts == c).sum()) for c in (1, 2, 3, 4)]]})
 
-    counted = _counted(docs, keys_of, shard_of).groupBy("shard").applyInPandas(write, "n array<bigint>")
+    counted = _counted(docs, model.seed, keys_of, shard_of).groupBy("shard").applyInPandas(write, "n array<bigint>")
     found = counted.select([F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(4)]).first()
     model.discounts = modified_discounts([int(x or 0) for x in found])
 
@@ -498,7 +499,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            hashes, starts = tokens_of(batch.column(1))
+            hashes, starts = tokens_of(batch.column(1), model.seed)
             logs, counts = model.log10(hashes, starts)
             n = np.diff(starts)
             total = np.add.reduceat(logs, starts[:-1])

@@ -23,23 +23,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.components import components
+from sigloom.llm.joins import hot_from, join_hot
 from sigloom.llm.store import keep
-from sigloom.llm.textbatch import chunks, flat, lower, mix, word_bounds, word_hashes
+from sigloom.llm.textbatch import chunks, flat, fresh_seed, lower, mix, word_bounds, word_hashes
 
 ROWS, BANDS = 6, 50
 T = ROWS * BANDS
 #: Classes of a bucket that a task compares with as many others at once.
-BLOCK = 512
+BLOCK = 256
 #: A pair whose sketches agree in less than the threshold less so many standard deviations is none.
 SIGMAS = 6.5
 
 
-def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, words: int, seed: int = 0) -> list[np.ndarray]:
     """The sorted 64-bit fingerprints of each text's distinct shingles; of the whole sequence if it has fewer words."""
     data, offsets = flat(column)
     data = lower(data)
     first, last, bounds = word_bounds(data, offsets)
-    hashes = word_hashes(data, first, last)
+    hashes = word_hashes(data, first, last, seed)
     rolled = np.full(max(0, len(hashes) - words + 1), words, np.uint64)
     for k in range(words if len(rolled) else 0):
         rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(rolled)])
@@ -100,12 +101,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
+def sketches(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """doc_id, n_shingles, the 128-bit digest of the set and its bands (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            sets = shingle_sets(batch.column(1), words)
+            sets = shingle_sets(batch.column(1), words, seed)
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             bands = [bands_of(sketch(s)) if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -116,19 +117,25 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shingle_sets(batch.column(1), words))], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shingle_sets(batch.column(1), words, seed))], names=["rep", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "rep bigint, shingles array<bigint>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(b, "b").join(a, "a")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold.  An a has few pairs; a b with very many is dealt to as many
+    tasks as its pairs take, each with one copy of its set."""
+    least = hot_from(total)
+    parts = F.ceil(F.col("n") / least).cast("int")
+    hot = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("b", parts.alias("parts")))
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")).join(hot, "b", "left")
+    two = two.select("b", "sb", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = dealt.join(one, "a").join(two, ["b", "part"])
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return both.where(100 * common >= percent * union).select("a", "b")
@@ -142,9 +149,11 @@ def _reaches(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
 def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that join components within buckets.  rest: band, no, rep, comp.
 
-    Buckets are cut into blocks; a task compares two blocks in memory, one of them outside the largest component: first the sketches, then, for pairs that they
-    allow and that meet in no earlier band, the sets in 32 bits, which can only overstate the similarity.  A pair
-    leaves the task if it joins what the task hasn't joined yet, so fewer pairs leave than classes come in."""
+    Buckets are cut into blocks; a task compares two blocks in memory, one of them outside the largest component: first
+    the sketches, then, for pairs that these allow and that meet in no earlier band, the full sets.  Sketches are
+    compared by 16 bits of each place, which only adds agreements, and allow pairs down to SIGMAS standard deviations
+    below the threshold.  A pair leaves the task if it joins what the task hasn't joined yet, so fewer pairs leave than
+    classes come in."""
     least = int(T * (percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / T) ** 0.5))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +161,18 @@ def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             values = batch.column(1).values.to_numpy().view(np.uint64)
             offsets = batch.column(1).offsets.to_numpy()
             every = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            places = [mix(sketch(x)).astype(np.uint16).tobytes() for x in every]
-            short = [np.unique(x.astype(np.uint32)).tobytes() for x in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.binary()), pa.array(short, pa.binary())], names=["rep", "places", "short"])
+            drawn = [sketch(x) for x in every]
+            places = [mix(x).astype(np.uint16).tobytes() for x in drawn]
+            bands = [bands_of(x).tobytes() for x in drawn]
+            columns = [batch.column(0), *(pa.array(x, pa.binary()) for x in (places, bands, [x.tobytes() for x in every]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "places", "bands", "full"])
 
     wanted = rest.select("rep").distinct()
-    folded = keep(sets.join(wanted, "rep").select("rep", "shingles").mapInArrow(fold, "rep bigint, places binary, short binary"), "places")
+    folded = keep(sets.join(wanted, "rep").select("rep", "shingles").mapInArrow(fold, "rep bigint, places binary, bands binary, full binary"), "places")
     # The largest component of a bucket needs no comparison with itself: its blocks meet those of the others only.
     parts = rest.groupBy("band", "comp").agg(F.count("*").alias("n"))
     top = parts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n_all"))
-    rows = rest.join(top, "band").withColumn("minor", F.col("comp") != F.col("top"))
+    rows = join_hot(rest, keep(top, "tops"), ["band"], "n_all", rest.count()).withColumn("minor", F.col("comp") != F.col("top"))
     m, most = (F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int") for n in (F.col("n_all") - F.col("n_top"), F.col("n_top")))
     dealt = F.xxhash64("rep")
     rows = rows.withColumn("block", F.when(F.col("minor"), F.pmod(dealt, m)).otherwise(m + F.pmod(dealt, most)).cast("int"))
@@ -173,8 +184,9 @@ def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", kind="stable")
         places = np.frombuffer(b"".join(rows["places"]), np.uint16).reshape(len(rows), T)
-        short = [np.frombuffer(x, np.uint32) for x in rows["short"]]
-        n = np.array([len(x) for x in short])
+        bands = np.frombuffer(b"".join(rows["bands"]), np.uint64).reshape(len(rows), BANDS)
+        full = [np.frombuffer(x, np.uint64) for x in rows["full"]]
+        n = np.array([len(x) for x in full])
         rep, block, comp = (rows[c].to_numpy() for c in ("rep", "block", "comp"))
         comp = comp.copy()
         i, j, no = rows["i"].iloc[0], rows["j"].iloc[0], rows["no"].iloc[0]
@@ -185,50 +197,55 @@ def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             against = row + 1 + np.flatnonzero(may & ((i == j) | (block[later] != block[row])))
             if not len(against):
                 continue
-            same = places[against] == places[row]
-            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-            for other in against[(same.sum(axis=1) >= least) & (first == no)].tolist():
-                if comp[other] != comp[row] and _reaches(short[row], short[other], percent):
+            alike = (places[against] == places[row]).sum(axis=1) >= least
+            first = (bands[against] == bands[row]).argmax(axis=1)
+            for other in against[alike & (first == no)].tolist():
+                if comp[other] != comp[row] and _reaches(full[row], full[other], percent):
                     found.append((rep[row], rep[other]))
                     comp[comp == comp[other]] = comp[row]
         pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"b": pairs[:, 0], "a": pairs[:, 1]})
+        return pd.DataFrame({"a": pairs[:, 1], "b": pairs[:, 0]})
 
-    return rows.groupBy("band", "i", "j").applyInPandas(compare, "b bigint, a bigint").distinct()
+    return rows.groupBy("band", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept, for every row of ``docs``.
 
     A link: 100 * intersection >= percent * union of the sets of distinct shingles.  Texts that are null or have no
-    words link with nothing.  Rows that share a doc_id are one node whose text is any of theirs; rows with a null
+    words link with nothing.  Rows that share a doc_id are one node that each of their texts links; rows with a null
     doc_id take no part and have themselves as component (null).  An empty table gives no rows.
     """
-    found = keep(sketches(docs, words), "sketches")
-    full = found.where("n_shingles > 0 and doc_id is not null")
-    reps = keep(full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("d1", "d2", F.col("r.doc_id").alias("rep"), "r.bands"), "classes")
+    seed = fresh_seed()
+    found = keep(sketches(docs, words, seed), "sketches")
+    taking = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    full = found.where(taking)
+    reps = full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.count("*").alias("copies"))
+    reps = keep(reps.select("d1", "d2", "copies", F.col("r.doc_id").alias("rep"), "r.bands"), "classes")
     bands = reps.select("rep", F.posexplode("bands").alias("no", "band"))
-    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = keep(bands.join(sizes, "band"), "buckets")
+    sizes = keep(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    n_full, n_shared = (r or 0 for r in (reps.agg(F.sum("copies")).first()[0], sizes.agg(F.sum("size")).first()[0]))
+    buckets = keep(join_hot(bands, sizes, ["band"], "size", n_shared), "buckets")
     mass = buckets.groupBy("rep").agg(F.sum("size").alias("mass"))
     weighed = buckets.join(mass, "rep")
-    centres = weighed.groupBy("band").agg(F.max_by("rep", F.struct("mass", -F.col("rep"))).alias("b"))
-    stars = keep(buckets.join(centres, "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "stars")
-    sets = keep(_sets(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words), "sets")
-    links = keep(_linked(stars, sets, percent), "links")
+    centres = keep(weighed.groupBy("band").agg(F.max_by("rep", F.struct("mass", -F.col("rep"))).alias("b"), F.count("*").alias("size")), "centres")
+    stars = keep(join_hot(buckets.select("band", "rep"), centres, ["band"], "size", n_shared).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "stars")
+    sets = keep(_sets(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words, seed), "sets")
+    links = keep(_linked(stars, sets, percent, n_shared), "links")
     parts = keep(components(links), "parts")
     # Buckets of three classes or more that stay in several components: their other pairs.
-    labelled = buckets.where("size > 2").join(parts, buckets["rep"] == parts["node"], "left").select("band", "no", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    open_ = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    rest = keep(labelled.join(open_, "band"), "rest")
+    labelled = buckets.where("size > 2").join(parts, buckets["rep"] == parts["node"], "left").select("band", "no", "rep", F.coalesce("component", "rep").alias("comp"))
+    labelled = keep(labelled, "labelled")
+    open_ = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
+    rest = keep(join_hot(labelled, keep(open_, "open"), ["band"], "size", n_shared).drop("size"), "rest")
     if not rest.isEmpty():
-        more = _linked(_block_links(rest, sets, percent).select("a", "b"), sets, percent)
-        links = keep(links.union(more), "links")
+        links = keep(links.union(_block_links(rest, sets, percent)), "links")
         parts = keep(components(links), "parts")
-    named = reps.join(parts, reps["rep"] == parts["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    joined = found.drop("bands").join(named, ["d1", "d2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    named = keep(reps.join(parts, reps["rep"] == parts["node"], "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component")), "named")
+    columns = ["doc_id", "n_shingles", "d1", "d2"]
+    joined = join_hot(full.select(*columns), named, ["d1", "d2"], "copies", n_full).select("doc_id", "n_shingles", "component")
+    rows = joined.union(found.where(~taking).select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ word hashing are a few vectorised passes over the bytes and no Python object is
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +17,8 @@ import pyarrow.compute as pc
 #: Bytes handled at once by one task.  Longer single texts are handled whole.
 CHUNK_BYTES = 2_000_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words longer than this are fingerprinted by a digest of their bytes.
+LONG_WORD = 128
 
 
 def lower_table() -> np.ndarray:
@@ -72,22 +74,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return first, last, np.searchsorted(first, offsets)
 
 
-_powers_so_far: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers at least of the base and of its inverse; kept by the worker for later batches."""
-    if not _powers_so_far or len(_powers_so_far[0]) < n:
-        size = max(CHUNK_BYTES, 1 << (n - 1).bit_length())
-        tables = []
-        for base in (_BASE, _INVERSE):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table))
-        _powers_so_far[:] = tables
-    return _powers_so_far[0], _powers_so_far[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -98,14 +84,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the words ``data[first:last]``, a polynomial over the bytes modulo 2^64, then mixed."""
-    if not len(first):
-        return np.zeros(0, np.uint64)
-    powers, inverse = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-    return mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def _piece(eights: np.ndarray, first: np.ndarray, last: np.ndarray, at: int) -> np.ndarray:
+    """Eight bytes of each word from its byte ``at`` on."""
+    return eights[np.minimum(first + at, len(eights) - 1)] & _LOW_BYTES[np.clip(last - first - at, 0, 8)]
+
+
+def fresh_seed() -> int:
+    """A seed for fingerprints that nobody who writes texts can know."""
+    return int.from_bytes(os.urandom(8), "little")
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit fingerprints of the words ``data[first:last]``.
+
+    A word is taken in eight bytes at a time and mixed after each, from a state that its length and ``seed`` set, so
+    words of one length that differ in one stretch of eight bytes only never share a fingerprint, and others do with a
+    probability of 2^-64.  Long words go by a keyed digest."""
+    length = last - first
+    seeded = mix(np.array([seed & (1 << 64) - 1], np.uint64))[0]
+    out = mix(length.astype(np.uint64) ^ seeded)
+    eights = _eights(data)
+    some, at = np.flatnonzero(length <= LONG_WORD), 0
+    while len(some):
+        out[some] = mix(out[some] ^ _piece(eights, first[some], last[some], at))
+        at += 8
+        some = some[length[some] > at]
+    key = int(seeded).to_bytes(8, "little")
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[first[k] : last[k]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def equal_words(data: np.ndarray, first: np.ndarray, last: np.ndarray, other: np.ndarray, other_first: np.ndarray, other_last: np.ndarray) -> np.ndarray:
+    """Whether the words of two flat arrays are the same, byte by byte, pair by pair."""
+    length = last - first
+    same = length == other_last - other_first
+    one, two = _eights(data), _eights(other)
+    some, at = np.flatnonzero(same), 0
+    while len(some):
+        equal = _piece(one, first[some], last[some], at) == _piece(two, other_first[some], other_last[some], at)
+        same[some[~equal]] = False
+        at += 8
+        some = some[equal & (length[some] > at)]
+    return same
 
 
 def lower(data: np.ndarray) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 The tokenizer splits at white space before it merges, so the ids of a text are those of its words, one after another.
 Each worker keeps the ids of words that it has met in sorted arrays (bounded by ``CACHE_WORDS``) and asks the library
-only for new ones.  The tests hold the ids against the library's own over whole texts.
+only for new ones.  A fingerprint only tells where to look: a word has the ids of a known one if all their bytes agree.
+The tests hold the ids against the library's own over whole texts.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from sigloom.llm.textbatch import flat, lower, word_bounds, word_hashes
+from sigloom.llm.textbatch import equal_words, flat, lower, word_bounds, word_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words whose ids a worker remembers (about 40 bytes each); beyond that it starts anew.
-CACHE_WORDS = 1_500_000
+#: Words that a worker remembers (about 70 bytes each) and bytes of theirs; beyond either it starts anew.
+CACHE_WORDS, CACHE_BYTES = 1_500_000, 64_000_000
 #: Words given to the library at once.
 ASK = 4096
 
@@ -33,7 +34,7 @@ def default_path() -> str:
 
 
 class WordTokenizer:
-    """Ids of words, remembered by their 64-bit fingerprints."""
+    """Ids of words, remembered by their 64-bit fingerprints and their bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,16 +50,22 @@ class WordTokenizer:
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
+        self.bytes = np.zeros(0, np.uint8)
+        self.first = self.last = np.zeros(0, np.int64)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) + len(hashes) > CACHE_WORDS:
-            self._forget()
-        count, parts = self._ask(words)
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        count, parts = self._ask([word.decode("utf-8", "replace") for word in words])
         begin = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
+        sizes = np.array([len(word) for word in words], np.int64)
+        last = len(self.bytes) + np.cumsum(sizes)
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
-        self.known, self.begin, self.count = known[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+        self.known = known[order]
+        columns = (("begin", begin), ("count", count), ("first", last - sizes), ("last", last))
+        for name, new in columns:
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
         self.ids = np.concatenate([self.ids, parts])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
 
     def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and all their ids in a row, from the library.
@@ -122,19 +129,24 @@ class WordTokenizer:
         new[inside] = self.known[spot[inside]] != unique[inside]
         if new.any():
             blob = data.tobytes()
-            words = [blob[a:b].decode("utf-8", "replace") for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist(), strict=True)]
-            missing = unique[new]
-            if len(self.known) + len(missing) > CACHE_WORDS and not new.all():
+            if len(self.known) + int(new.sum()) > CACHE_WORDS or len(self.bytes) > CACHE_BYTES:
                 self._forget()
-                words = [blob[a:b].decode("utf-8", "replace") for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
-                missing = unique
-            self._learn(missing, words)
+                new[:] = True
+            self._learn(unique[new], [blob[a:b] for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist(), strict=True)])
             spot = np.searchsorted(self.known, unique)
         begin, count = self.begin[spot][back], self.count[spot][back].astype(np.int64)
+        # Words of one fingerprint that differ: the library tells each.
+        known = equal_words(data, first[at], last[at], self.bytes, self.first[spot], self.last[spot])
+        other = np.flatnonzero(~(known[back] & equal_words(data, first, last, data, first[at][back], last[at][back])))
+        ids = self.ids
+        if len(other):
+            n, parts = self._ask([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(first[other].tolist(), last[other].tolist(), strict=True)])
+            begin[other], count[other] = len(ids) + np.cumsum(n, dtype=np.int64) - n, n
+            ids = np.concatenate([ids, parts])
         ends = np.cumsum(count)
         index = np.arange(int(ends[-1])) - np.repeat(ends - count, count)
         starts = np.concatenate([[0], ends])
-        return self.ids[np.repeat(begin, count) + index], starts[bounds]
+        return ids[np.repeat(begin, count) + index], starts[bounds]
 
 
 _workers: dict[str, WordTokenizer] = {}
