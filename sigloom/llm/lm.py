@@ -35,10 +35,12 @@ from sigloom.llm.textbatch import chunks, flat, fresh_seed, lower, mix, word_bou
 FLUSH, SHARD_TOKENS, SHARDS = 4_000_000, 4_000_000, 64
 #: Order of the query's model.
 ORDER = 3
-#: Upper bits of a word's hash that name its shard.
-WORD_BITS = 8
-#: Words in a stretch of the statistics.
-STRETCH = 1 << 16
+#: Upper bits of a word's hash that name its shard, at least and at most, and bytes of text for each shard of words.
+WORD_BITS, MOST_BITS, SHARD_BYTES = 8, 16, 1 << 28
+#: Words in a stretch of the statistics, and in one of a model of more shards than MANY.
+STRETCH, SHORT_STRETCH, MANY = 1 << 16, 1 << 12, 4096
+#: Files that a worker maps at once.
+MAPS = 16_384
 #: Counts of trigrams from here up are kept apart from the bytes that hold the others.
 BYTE = 255
 END = np.uint64(0xE0D)
@@ -141,24 +143,33 @@ class Model:
         return sum(self.word_sizes)
 
     def _mapped(self, name: str, k: int, kind: type) -> np.ndarray:
-        if (name, k) not in self._maps:
-            self._maps[name, k] = _map(self.folder, name, k, kind)
-        return self._maps[name, k]
+        found = self._maps.pop((name, k), None)
+        if found is None:
+            found = _map(self.folder, name, k, kind)
+            while len(self._maps) >= MAPS:
+                self._maps.pop(next(iter(self._maps)))
+        self._maps[name, k] = found  # the one used last stands last
+        return found
+
+    @property
+    def stretch(self) -> int:
+        return STRETCH if self.shards <= MANY else SHORT_STRETCH
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word in the order of all hashes (-1: unknown), and its count."""
         unique, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
         edges = np.searchsorted(unique, np.arange(1 << self.word_bits, dtype=np.uint64) << np.uint64(64 - self.word_bits))
-        base = 0
-        for shard, (a, b) in enumerate(zip(edges, [*edges[1:], len(unique)], strict=True)):
+        edges = np.append(edges, len(unique))
+        bases = np.concatenate([[0], np.cumsum(np.array(self.word_sizes, np.int64))])
+        for shard in np.flatnonzero(np.diff(edges)).tolist():
+            a, b, base = edges[shard], edges[shard + 1], bases[shard]
             known = self._mapped(f"word{shard}", 0, np.uint64)
-            if b > a and len(known):
+            if len(known):
                 spot = np.minimum(np.searchsorted(known, unique[a:b]), len(known) - 1)
                 hit = known[spot] == unique[a:b]
                 ids[a:b] = np.where(hit, spot + base, -1)
                 counts[a:b] = np.where(hit, self._mapped(f"word{shard}", 1, np.uint64)[spot].astype(np.int64), 0)
-            base += self.word_sizes[shard]
         return ids[back], counts[back]
 
     def bigrams(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +202,9 @@ class Model:
                 spot = np.minimum(np.searchsorted(met, place[some].astype(np.uint32)), len(met) - 1)
                 hit = met[spot] == place[some]
                 some, spot = some[hit], spot[hit]
-                counted[some] = self._mapped(f"more{s}", 1, np.uint32)[spot]
+                counted[some] = self._mapped(f"more{s}", 1, np.uint64)[spot]
                 if self.order == 3 and self.middle_discounts[0]:
-                    below[some] = self._mapped(f"more{s}", 2, np.uint32)[spot]
+                    below[some] = self._mapped(f"more{s}", 2, np.uint64)[spot]
                     share[some] = self._mapped(f"more{s}", 3, np.float64)[spot]
         return counted, below, share
 
@@ -228,11 +239,11 @@ class Model:
         """For each word: total as context, its followers met once, twice, more often; and its continuation count."""
         unique, back = np.unique(ids, return_inverse=True)
         out = np.zeros((len(unique), 5))
-        for stretch in np.unique(unique[unique >= 0] // STRETCH).tolist():
-            mine = (unique >= 0) & (unique // STRETCH == stretch)
+        for stretch in np.unique(unique[unique >= 0] // self.stretch).tolist():
+            mine = (unique >= 0) & (unique // self.stretch == stretch)
             table = self._mapped(f"stat{stretch}", 0, np.uint64)
             if len(table):
-                out[mine] = table.reshape(-1, 5)[unique[mine] % STRETCH]
+                out[mine] = table.reshape(-1, 5)[unique[mine] % self.stretch]
         return out[back]
 
     def log10(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +345,8 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     model = Model(folder, order=order, seed=fresh_seed())
 
     # Words go to shards by their upper bits, so the shards in a row are sorted.
-    bits = model.word_bits
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = model.word_bits = min(MOST_BITS, max(WORD_BITS, (n_bytes // SHARD_BYTES).bit_length()))
     word_parts = _counted(docs, model.seed, lambda hashes, starts: hashes, lambda keys: (keys >> np.uint64(64 - bits)).astype(np.int64))
 
     def write_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -362,9 +374,9 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         out = [("", 0, [], [int((counts == c).sum()) for c in (1, 2, 3, 4)])]
         firsts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, int)
         columns = [np.add.reduceat(x.astype(np.uint64), firsts) if len(keys) else x.astype(np.uint64) for x in (counts, counts == 1, counts == 2, counts >= 3)]
-        out += _stretches("context", context[firsts], np.stack(columns, axis=1))
+        out += _stretches("context", context[firsts], np.stack(columns, axis=1), model.stretch)
         found, times = np.unique(word, return_counts=True)
-        out += _stretches("word", found, times.astype(np.uint64)[:, None])
+        out += _stretches("word", found, times.astype(np.uint64)[:, None], model.stretch)
         return pd.DataFrame({"kind": [x[0] for x in out], "stretch": [x[1] for x in out], "ids": [_pack(np.array(x[2], np.uint64)) for x in out], "counts": [_pack_counts(np.ascontiguousarray(x[3]).ravel() if len(x[2]) else np.array(x[3])) for x in out]})
 
     summaries = "kind string, stretch bigint, ids binary, counts binary"
@@ -373,7 +385,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         keys, counts = _merged(rows)
         more = np.flatnonzero(counts > 1)
         _write(folder, f"pair{key[0]}", keys)
-        _write(folder, f"more{key[0]}", more.astype(np.uint32), counts[more].astype(np.uint32))
+        _write(folder, f"more{key[0]}", more.astype(np.uint32), counts[more].astype(np.uint64))
         if order == 3:
             return pd.DataFrame({"shard": [key[0]], "pairs": [len(keys)]})
         return summary(keys, counts)
@@ -388,9 +400,9 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         partial = keep(pairs.groupBy("shard").applyInPandas(write_pairs, summaries), "statistics")
 
     def write_statistics(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros((STRETCH, 5), np.uint64)
+        table = np.zeros((model.stretch, 5), np.uint64)
         for kind, ids, counts in rows[["kind", "ids", "counts"]].itertuples(index=False):
-            spot = (_unpack(ids) % np.uint64(STRETCH)).astype(np.int64)
+            spot = (_unpack(ids) % np.uint64(model.stretch)).astype(np.int64)
             values = _unpack_counts(counts).reshape(len(spot), -1)
             if kind == "context":
                 table[spot, :4] += values
@@ -470,7 +482,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
         keys, more = np.asarray(model._mapped(f"pair{s}", 0, np.uint64)), np.asarray(model._mapped(f"more{s}", 0, np.uint32))
         ends, times = _merged(rows)
         counted = np.ones(len(keys), np.uint64)
-        counted[more] = model._mapped(f"more{s}", 1, np.uint32)
+        counted[more] = model._mapped(f"more{s}", 1, np.uint64)
         counts = counted.copy()
         inside = more[keys[more] // size != np.uint64(model.words)]
         counts[inside] = times[np.searchsorted(ends, keys[inside])]
@@ -479,7 +491,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
         if len(known):
             discount = _discount(model.discounts, model.trigram_counts(s, np.arange(len(known))))
             left = np.bincount((known // size).astype(np.int64) - bases[s], weights=discount, minlength=len(keys))
-        _write_more(folder, f"more{s}", {2: counts[more].astype(np.uint32), 3: left[more] / counted[more]})
+        _write_more(folder, f"more{s}", {2: counts[more].astype(np.uint64), 3: left[more] / counted[more]})
         return summary(keys, counts)
 
     _release(spark)
@@ -487,8 +499,8 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
     return shards.mapInArrow(below, PARTS).groupBy("shard").applyInPandas(middle, schema)
 
 
-def _stretches(kind: str, ids: np.ndarray, values: np.ndarray) -> list[tuple]:
-    stretch = (ids // np.uint64(STRETCH)).astype(np.int64)
+def _stretches(kind: str, ids: np.ndarray, values: np.ndarray, size: int) -> list[tuple]:
+    stretch = (ids // np.uint64(size)).astype(np.int64)
     edges = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]])) if len(ids) else np.zeros(0, int)
     return [(kind, int(stretch[a]), ids[a:b], values[a:b]) for a, b in zip(edges, [*edges[1:], len(ids)][: len(edges)], strict=True)]
 
