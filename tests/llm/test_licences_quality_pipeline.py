@@ -25,7 +25,7 @@ def test_licences_are_named_and_unknowns_left(spark):
     assert len(found) == len(texts)
     want = sorted((r.doc_id, ",".join(sorted({f for n, f in names.items() if n in (r.text or "")}))) for r in texts)
     assert sorted((r.doc_id, r.families) for r in found) == want
-    paragraphs = {(r.doc_id, sum(bool(re.search(r"[^\W_]", line)) for line in (r.text or "").split("\n"))) for r in texts}
+    paragraphs = {(r.doc_id, sum(bool(re.search(r"[^\W_]", p)) for p in re.split(r"\n[ \t\r\x0b\x0c]*\n", r.text or ""))) for r in texts}
     assert {(r.doc_id, r.n_paragraphs) for r in found} == paragraphs
     assert licences.scan(docs.limit(0)).count() == 0
 
