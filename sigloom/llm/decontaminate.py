@@ -4,6 +4,11 @@ The index holds (term, document, position) of every corpus token that is a bench
 item is sought by its rarest term: the term's list, moved by the term's offset, is intersected with the moved list of
 the next rarest.  What remains names a document, an item and the place where the item would begin; the document's words
 are then compared there, and runs of at least a window give the hits.
+
+Documents are compared with one item at a time, so what a task holds is a text, an item and its places, however many
+items a text holds; only places of runs are then put together by document.  Where the documents with candidates are few
+by count (BROADCAST_DOCS), their keys go to the documents; where they are many, both are dealt by key.  The results are
+the same.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmark terms that are sent to all tasks; more of them are joined by a shuffle.
 BROADCAST_TERMS = 500_000
+#: Documents with candidates, or hits of documents, that are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST_DOCS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -63,14 +70,14 @@ def candidates(postings: DataFrame, marks: DataFrame) -> DataFrame:
 _RUNS = "array<struct<s:int,e:int>>"
 
 
-def _runs(words: Column, candidate: Column, window: int) -> Column:
-    """Stretches of the document's words that agree with the item's and hold a window at least."""
-    size, n = F.size(words), F.size(candidate["words"])
+def _runs(words: Column, item: Column, at: Column, window: int) -> Column:
+    """Stretches of the document's words that agree with the item's, laid at a place, and hold a window at least."""
+    size, n = F.size(words), F.size(item)
     width = F.least(F.lit(window), n)
 
     def step(state: Column, o: Column) -> Column:
-        place = candidate["at"] + o
-        same = (o < n) & (place >= 0) & (place < size) & F.coalesce(F.get(words, place) == F.get(candidate["words"], o), F.lit(False))
+        place = at + o
+        same = (o < n) & (place >= 0) & (place < size) & F.coalesce(F.get(words, place) == F.get(item, o), F.lit(False))
         ends = ~same & (state["run"] >= width)
         out = F.when(ends, F.concat(state["out"], F.array(F.struct((place - state["run"]).alias("s"), place.alias("e"))))).otherwise(state["out"])
         return F.struct(F.when(same, state["run"] + 1).otherwise(0).alias("run"), out.alias("out"))
@@ -79,6 +86,18 @@ def _runs(words: Column, candidate: Column, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n), start, step, lambda state: state["out"])
 
 
+def _merged(runs: Column) -> Column:
+    """The same places by stretches that don't meet."""
+
+    def step(out: Column, run: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        meets = F.coalesce(run["s"] <= last["e"], F.lit(False))
+        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], run["e"]).alias("e"))
+        return F.when(meets, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(out, F.array(run)))
+
+    return F.aggregate(F.array_sort(runs), F.expr(f"cast(array() as {_RUNS})"), step)
+
+
 def _covered(runs: Column) -> Column:
     """The number of words inside any stretch."""
 
@@ -89,9 +108,13 @@ def _covered(runs: Column) -> Column:
     return F.aggregate(F.array_sort(runs), F.struct(F.lit(0).alias("end"), F.lit(0).alias("total")), step, lambda s: s["total"])
 
 
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """For every row of ``docs``: row, a struct of all its columns, words, item_ids (as strings, sorted) and runs (s, e)
-    of hit words.
+    of hit words, which don't meet.
 
     Items are the rows of ``benchmark`` (item_id, text); those that share an id count once.  Items without words or
     with a null id are left out; null texts have no words; an empty benchmark gives no hits.
@@ -101,18 +124,18 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("k", F.xxhash64("row.doc_id", "row.text"))
     postings = build_index(keyed.select("k", "row.text"), terms_of(items))
     marks = keep(anchors(items, postings, window), "anchors")
-    found = candidates(postings, marks).join(items, "item").groupBy("k").agg(F.collect_list(F.struct("item_id", "at", "words")).alias("found"))
-    both = keyed.join(found, "k", "left").withColumn("words", words_of(F.col("row.text")))
-    hits = F.filter(
-        F.transform(F.coalesce("found", F.expr("cast(array() as array<struct<item_id:bigint,at:int,words:array<string>>>)")), lambda c: F.struct(c["item_id"].alias("item_id"), _runs(F.col("words"), c, window).alias("runs"))),
-        lambda h: F.size(h["runs"]) > 0,
-    )
-    both = both.withColumn("hits", hits)
-    return both.select(
-        "row", "words",
-        F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string")))).alias("item_ids"),
-        F.flatten(F.transform("hits", lambda h: h["runs"])).alias("runs"),
-    )
+    # One row for a document and an item, with the places where the item may begin.
+    found = keep(candidates(postings, marks).groupBy("k", "item").agg(F.collect_list("at").alias("places")), "candidates")
+    asked = found.select("k").distinct()
+    texts = keyed.select("k", "row.text").join(F.broadcast(asked) if _few(asked) else asked, "k", "left_semi").distinct()
+    both = texts.join(found, "k").join(items.withColumnRenamed("words", "sought"), "item").withColumn("words", words_of(F.col("text")))
+    runs = F.flatten(F.transform("places", lambda at: _runs(F.col("words"), F.col("sought"), at, window)))
+    hits = both.select("k", F.col("item_id").cast("string").alias("item_id"), _merged(runs).alias("runs")).where(F.size("runs") > 0)
+    by_doc = hits.groupBy("k").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), _merged(F.flatten(F.collect_list("runs"))).alias("hit"))
+    by_doc = keep(by_doc, "hits")
+    own = keyed.join(F.broadcast(by_doc) if _few(by_doc) else by_doc, "k", "left")
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
+    return own.select("row", words_of(F.col("row.text")).alias("words"), F.coalesce("ids", none("array<string>")).alias("item_ids"), F.coalesce("hit", none(_RUNS)).alias("runs"))
 
 
 def proximity(postings: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
