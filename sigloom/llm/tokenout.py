@@ -1,6 +1,6 @@
 """Token-ID / binary output: a corpus of token ids in files of directly addressable codes (``dac``).
 
-Documents are dealt out by ranges of doc_id and sorted within each, tokenised, and written as blocks by Spark's own
+Documents are dealt out by ranges of doc_id, and of a hash of the text where ids repeat, and sorted within each, tokenised, and written as blocks by Spark's own
 writer, whose commit protocol survives lost executors and repeated tasks.  Blocks follow one another in the order of
 (part, seq), which is ascending doc_id order; rows that share a doc_id stand side by side and null ids come first.
 """
@@ -62,7 +62,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         if ids:
             yield block()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    tie = F.xxhash64("text")  # so that null or repeated ids don't all go to one task
+    ordered = docs.select("doc_id", "text", tie.alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(encode, BLOCKS).write.parquet(path)
 
 
@@ -100,21 +101,26 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     """(place, token_id) for each place of ``places``, read from the codes without decoding blocks.
 
-    Places outside the corpus and null places are left out; a place asked for twice is answered twice.
+    Places outside the corpus and null places are left out; a place asked for twice is answered twice.  Each block meets
+    all its places at once, so no block is sent twice; these are distinct, hence no more than the block's ids.
     """
-    blocks = read_blocks(spark, path).select("base", "n_tokens", "codes")
+    blocks = read_blocks(spark, path).select("part", "seq", "base", "n_tokens", "codes")
     spans = F.sequence(F.expr(f"base div {SPAN}"), F.expr(f"(base + n_tokens - 1) div {SPAN}"))
-    blocks = blocks.withColumn("span", F.explode(spans))
-    asked = places.select("place").withColumn("span", F.expr(f"place div {SPAN}"))
-    found = asked.join(blocks, "span").where("place >= base and place < base + n_tokens")
+    directory = blocks.select("part", "seq", "base", "n_tokens", F.explode(spans).alias("span"))
+    asked = places.groupBy("place").agg(F.count("*").alias("times")).withColumn("span", F.expr(f"place div {SPAN}"))
+    found = asked.join(directory, "span").where("place >= base and place < base + n_tokens")
+    found = found.groupBy("part", "seq").agg(F.collect_list(F.struct("place", "times")).alias("asked"))
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            ids = [dac.Block(r["codes"]).get(r["place"] - r["base"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64())], names=["place", "token_id"])
-
-    return found.select("place", "base", "codes").mapInArrow(get, "place bigint, token_id bigint")
+            for row in range(batch.num_rows):
+                base, codes = batch.column(0)[row].as_py(), dac.Block(batch.column(1)[row].as_py())
+                wanted = batch.column(2)[row].values
+                place, times = (wanted.field(k).to_numpy() for k in (0, 1))
+                ids = [codes.get(int(p) - base) for p in place]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(place, times)), pa.array(np.repeat(np.array(ids, np.int64), times))], names=["place", "token_id"])
+
+    return found.join(blocks, ["part", "seq"]).select("base", "codes", "asked").mapInArrow(get, "place bigint, token_id bigint")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
