@@ -2,8 +2,9 @@
 
 Vectors are turned onto the principal axes of all of them, which keeps cosines.  Tiles follow the first coordinate, so a
 tile meets only those whose first coordinates are near enough.  Inside a pair of tiles the leading coordinates are
-multiplied first; the product of the norms of what is left bounds the rest, and a pair goes on only while the bound can
-reach the threshold.  What goes on is settled in double precision from the vectors themselves.
+multiplied first; the product of the norms of what is left bounds the rest.  Pairs go on, some coordinates more at a
+time, only while the bound can reach the threshold.  What comes to the end is settled in double precision from the
+vectors themselves.
 
 A task returns, for each vector, how many vectors of the other tile it links with, and a spanning forest of the links:
 pairs inside a group of copies are counted but never listed.
@@ -35,6 +36,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one.  Rows are first scaled by a power of two, which is exact, so that squares neither over- nor
+    underflow."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return x / np.sqrt(np.square(x).sum(axis=1))[:, None]
 
 
@@ -107,13 +111,17 @@ def compare(x: np.ndarray, y: np.ndarray | None, x_weights: np.ndarray, y_weight
     unit_y = unit_x if alone else _unit(y)
     k = min(LEADING, axes.shape[1])
 
-    def leading(unit: np.ndarray) -> np.ndarray:
-        head = unit @ axes[:, :k]
-        rest = np.sqrt(np.maximum(1 - np.square(head).sum(axis=1), 0))
-        return np.concatenate([head, rest[:, None]], axis=1).astype(np.float32)
+    steps = list(range(k, axes.shape[1], LEADING))
 
-    lead_x = leading(unit_x)
-    lead_y = lead_x if alone else leading(unit_y)
+    def leading(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The leading coordinates with the norm of the rest, all coordinates, and the norms of what follows each step."""
+        turned = unit @ axes
+        squares = np.cumsum(np.square(turned)[:, ::-1], axis=1)[:, ::-1]
+        rests = np.sqrt(np.maximum(squares[:, steps], 0)) if steps else np.zeros((len(unit), 1))
+        return np.concatenate([turned[:, :k], rests[:, :1]], axis=1).astype(np.float32), turned, rests
+
+    lead_x, turned_x, rest_x = leading(unit_x)
+    lead_y, turned_y, rest_y = (lead_x, turned_x, rest_x) if alone else leading(unit_y)
     n_x, n_y = np.zeros(len(unit_x), np.int64), np.zeros(len(unit_y), np.int64)
     forest, edges = Forest(len(unit_x) + len(unit_y)), []
     for at in range(0, len(unit_x), PART):
@@ -128,6 +136,13 @@ def compare(x: np.ndarray, y: np.ndarray | None, x_weights: np.ndarray, y_weight
             may &= unit_x[at : at + PART] @ unit_y[from_:].T >= threshold
         else:
             i, j = np.nonzero(may)
+            may[i, j] = False
+            product = np.einsum("ij,ij->i", turned_x[at + i, :k], turned_y[from_ + j, :k])
+            for n, step in enumerate(steps[1:], 1):
+                part = slice(steps[n - 1], step)
+                product += np.einsum("ij,ij->i", turned_x[at + i, part], turned_y[from_ + j, part])
+                on = product + rest_x[at + i, n] * rest_y[from_ + j, n] >= threshold - SLACK
+                i, j, product = i[on], j[on], product[on]
             may[i, j] = np.einsum("ij,ij->i", unit_x[at + i], unit_y[from_ + j]) >= threshold
         n_x[at : at + PART] += may @ y_weights[from_:]
         n_y[from_:] += x_weights[at : at + PART] @ may
