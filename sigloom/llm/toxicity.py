@@ -2,9 +2,9 @@
 
 Words fall into hash buckets; the buckets met often enough, and unevenly in the two labels, have embeddings (others: zeros).
 Filters of several widths slide over the words of a text, and each filter's largest response goes into a logistic
-output.  The model is fitted on a bounded sample of labelled rows (SAMPLE of each label, by hash of the id) and scores
-every whole text.  For each language a threshold is calibrated on labelled rows kept out of the fit; languages with too
-few of them take the threshold of all.
+output.  The model is fitted on a bounded sample of labelled rows (SAMPLE of each label and SAMPLE_BYTES of whole texts,
+by hash of the id) and scores every whole text.  A threshold for each language is calibrated on all labelled rows of a
+fold that the fit never sees, by counts of their scores that Spark adds up; languages with too few take that of all.
 """
 
 from __future__ import annotations
@@ -13,14 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.quality import fold_of
+from sigloom.llm.store import keep
 from sigloom.llm.textbatch import chunks, flat, lower, mix, word_bounds, word_hashes
 
-#: Labelled rows of each kind that the fit may use at most.
-SAMPLE = 2_500
+#: Labelled rows of each kind that the fit may use at most, and bytes of their texts, which are whole.
+SAMPLE, SAMPLE_BYTES = 2_500, 48_000_000
+#: One labelled row of so many calibrates the thresholds; scores are counted in so many bins.
+KEPT_OUT, BINS = 10, 1_000
 BUCKETS, ROWS, DIM, WIDTHS, FILTERS = 1 << 22, 1 << 14, 8, (1, 2, 3), 8
 #: Training texts that a bucket must be met in, and how many standard errors its shares in the two labels must differ.
 LEAST_TEXTS, LEAST_Z = 3, 3.0
@@ -172,55 +175,59 @@ def train(texts: pa.Array, labels: np.ndarray, share: float, seed: int = 11) ->
     return model
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The score that gives the best F1 when it and what lies above is flagged; FLAG if nothing is to be found."""
-    if not labels.any():
-        return FLAG
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
-    last = np.concatenate([scores[order][1:] != scores[order][:-1], [True]])
-    best = int(np.argmax(np.where(last, f1, -1)))
-    below = scores[order][best + 1] if best + 1 < len(order) else 0.0
-    return float((scores[order][best] + below) / 2)
+def thresholds(scored: DataFrame) -> DataFrame:
+    """lang and cut, the bin from which flagging gives the best F1, of scored (lang, bin, y); the row of a null lang is
+    that of all.  Languages of fewer than LEAST_ROWS rows, or of one label, have none."""
+    counts = scored.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
+    rows = counts.where("lang is not null").union(counts.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n"), F.sum("hits")))
+    whole, above = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy(F.desc("bin"))
+    rows = rows.select("lang", "bin", F.sum("n").over(above).alias("flagged"), F.sum("hits").over(above).alias("caught"), F.sum("n").over(whole).alias("n"), F.sum("hits").over(whole).alias("ones"))
+    rows = rows.where((F.col("ones") > 0) & (F.col("ones") < F.col("n")) & (F.col("lang").isNull() | (F.col("n") >= LEAST_ROWS)))
+    f1 = 2 * F.col("caught") / (F.col("flagged") + F.col("ones"))
+    return rows.groupBy("lang").agg(F.max_by("bin", F.struct(f1, "bin")).alias("cut"))
+
+
+def sample(docs: DataFrame, marked: DataFrame) -> pa.Table:
+    """doc_id, text and y of the labelled rows that the fit may use, within SAMPLE and SAMPLE_BYTES: one text to a
+    doc_id, taken in the order of the ids' hashes; texts that no longer fit are passed over."""
+    wanted = None
+    for y in (0, 1):
+        some = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        wanted = some if wanted is None else wanted.union(some)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    found = keyed.drop("text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("size", "h")).alias("m"))
+    left, chosen = SAMPLE_BYTES, []
+    for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # 2 * SAMPLE rows at most
+        if r.m["size"] <= left:
+            left -= r.m["size"]
+            chosen.append((r.doc_id, r.y, r.m["h"]))
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, y int, h bigint")
+    return keyed.select("doc_id", "text", "h").join(F.broadcast(chosen), ["doc_id", "h"]).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).toArrow()
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted, and lang_threshold and flagged by the row's language.
 
-    Null texts count as empty and are scored like others; a null or unknown language takes the threshold of all.
-    Without labels of both kinds each score is the share of label 1 (0 without any).  An empty table gives no rows.
+    Null texts count as empty and are scored like others; a null or unknown language takes the threshold of all.  A
+    doc_id's labels count once, as the smallest; rows that repeat a doc_id are scored each, and one of their texts may be
+    fitted; rows with a null doc_id are scored and not held out; a score that equals a threshold is flagged.  Without
+    labels of both kinds each score is the share of label 1 (0 without any).  Other columns, whatever their names, are
+    left out.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     marked = labels.where(F.col(label).isin(0, 1) & (fold_of("doc_id", 4) != 2)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    wanted = None
-    for y in (0, 1):
-        some = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        wanted = some if wanted is None else wanted.union(some)
-    has_lang = "lang" in docs.columns
-    lang = F.col("lang") if has_lang else F.lit(None).cast("string")
-    sample = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(wanted), "doc_id").toArrow()  # at most 2 * SAMPLE rows
-    y = sample.column("y").to_numpy().astype(np.float32)
-    texts = sample.column("text").combine_chunks()
-    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts
-    ids = sample.column("doc_id").to_numpy()
-    checked = mix(ids.astype(np.uint64)) % np.uint64(5) == 0
-    fitted = bool(len(y)) and 0 < y[~checked].sum() < (~checked).sum()
-    thresholds: dict[str | None, float] = {None: FLAG}
+    kept_out = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(KEPT_OUT)) == 0
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    docs = docs.select("doc_id", "text", lang.alias("lang"))
+    table = sample(docs, marked.where(~kept_out))
+    y = table.column("y").to_numpy().astype(np.float32)
+    fitted = bool(len(y)) and 0 < y.sum() < len(y)
     if fitted:
-        model = train(texts.filter(pa.array(~checked)), y[~checked], share)
-        checks = pa.RecordBatch.from_arrays([texts.filter(pa.array(checked))], names=["text"])
-        parts = [buckets_of(part.column(0)) for part in chunks(iter([checks]), size=500_000)]
-        scores = np.concatenate([np.zeros(0), *[model.score(model.rows(buckets), bounds) for buckets, bounds in parts]])
-        languages = np.array(sample.column("lang").to_pylist(), dtype=object)[checked]
-        thresholds[None] = best_threshold(scores, y[checked])
-        for one in {x for x in languages if x is not None}:
-            own = languages == one
-            if own.sum() >= LEAST_ROWS and 0 < y[checked][own].sum() < own.sum():
-                thresholds[one] = best_threshold(scores[own], y[checked][own])
-        shared = spark.sparkContext.broadcast(model)
+        texts = table.column("text").combine_chunks()
+        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+        shared = spark.sparkContext.broadcast(train(texts, y, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, size=500_000):
@@ -229,12 +236,17 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
                 scores = shared.value.score(shared.value.rows(buckets), bounds)
             else:
                 scores = np.full(batch.num_rows, share)
-            cut = pa.array([thresholds.get(x, thresholds[None]) for x in batch.column(2).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), cut], names=["doc_id", "score", "lang_threshold"])
-
-    scored = docs.select("doc_id", "text", lang.cast("string").alias("lang")).mapInArrow(run, "doc_id bigint, score double, lang_threshold double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), batch.column(2)], names=["doc_id", "score", "lang"])
+
+    scored = keep(docs.mapInArrow(run, "doc_id bigint, score double, lang string"), "toxicity")
+    binned = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin")
+    cuts = keep(thresholds(scored.join(marked.where(kept_out), "doc_id").select("lang", binned, "y")), "thresholds")
+    of_all = cuts.where("lang is null").first()
+    default = of_all.cut / BINS if of_all else FLAG
+    own = cuts.where("lang is not null").select("lang", (F.col("cut") / BINS).alias("own"))
+    rows = scored.join(own, "lang", "left").withColumn("lang_threshold", F.coalesce("own", F.lit(default)))
     held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= FLAG).cast("int").alias("predicted"), "lang_threshold", (F.col("score") >= F.col("lang_threshold")).alias("flagged"))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= FLAG).cast("int").alias("predicted"), "lang_threshold", (F.col("score") >= F.col("lang_threshold")).alias("flagged"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
