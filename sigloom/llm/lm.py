@@ -98,6 +98,11 @@ def _map(folder: str, name: str, k: int, kind: type) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of them fit: half the disk."""
+    return counts.astype(np.uint64 if len(counts) and counts.max() >> np.uint64(32) else np.uint32)
+
+
 def tokens_of(column: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's words and its end, in a row, and the first of each text."""
     data, offsets = flat(column)
@@ -151,6 +156,11 @@ class Model:
         self._maps[name, k] = found  # the one used last stands last
         return found
 
+    def _counts(self, name: str, k: int, n: int) -> np.ndarray:
+        """A file of n counts, of 32 or 64 bits each as its size tells."""
+        found = self._mapped(name, k, np.uint32)
+        return found if len(found) <= n else found.view(np.uint64)
+
     @property
     def stretch(self) -> int:
         return STRETCH if self.shards <= MANY else SHORT_STRETCH
@@ -202,9 +212,9 @@ class Model:
                 spot = np.minimum(np.searchsorted(met, place[some].astype(np.uint32)), len(met) - 1)
                 hit = met[spot] == place[some]
                 some, spot = some[hit], spot[hit]
-                counted[some] = self._mapped(f"more{s}", 1, np.uint64)[spot]
+                counted[some] = self._counts(f"more{s}", 1, len(met))[spot]
                 if self.order == 3 and self.middle_discounts[0]:
-                    below[some] = self._mapped(f"more{s}", 2, np.uint64)[spot]
+                    below[some] = self._counts(f"more{s}", 2, len(met))[spot]
                     share[some] = self._mapped(f"more{s}", 3, np.float64)[spot]
         return counted, below, share
 
@@ -241,7 +251,7 @@ class Model:
         out = np.zeros((len(unique), 5))
         for stretch in np.unique(unique[unique >= 0] // self.stretch).tolist():
             mine = (unique >= 0) & (unique // self.stretch == stretch)
-            table = self._mapped(f"stat{stretch}", 0, np.uint64)
+            table = self._counts(f"stat{stretch}", 0, 5 * self.stretch)
             if len(table):
                 out[mine] = table.reshape(-1, 5)[unique[mine] % self.stretch]
         return out[back]
@@ -385,7 +395,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         keys, counts = _merged(rows)
         more = np.flatnonzero(counts > 1)
         _write(folder, f"pair{key[0]}", keys)
-        _write(folder, f"more{key[0]}", more.astype(np.uint32), counts[more].astype(np.uint64))
+        _write(folder, f"more{key[0]}", more.astype(np.uint32), _narrow(counts[more].astype(np.uint64)))
         if order == 3:
             return pd.DataFrame({"shard": [key[0]], "pairs": [len(keys)]})
         return summary(keys, counts)
@@ -408,7 +418,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
                 table[spot, :4] += values
             else:
                 table[spot, 4] += values[:, 0]
-        _write(folder, f"stat{key[0]}", table.ravel())
+        _write(folder, f"stat{key[0]}", _narrow(table.ravel()))
         follow = table[:, 4]
         return pd.DataFrame({"n": [[*[int((follow == c).sum()) for c in (1, 2, 3, 4)], int((follow >= 3).sum()), int(follow.sum())]]})
 
@@ -482,7 +492,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
         keys, more = np.asarray(model._mapped(f"pair{s}", 0, np.uint64)), np.asarray(model._mapped(f"more{s}", 0, np.uint32))
         ends, times = _merged(rows)
         counted = np.ones(len(keys), np.uint64)
-        counted[more] = model._mapped(f"more{s}", 1, np.uint64)
+        counted[more] = model._counts(f"more{s}", 1, len(more))
         counts = counted.copy()
         inside = more[keys[more] // size != np.uint64(model.words)]
         counts[inside] = times[np.searchsorted(ends, keys[inside])]
@@ -491,7 +501,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
         if len(known):
             discount = _discount(model.discounts, model.trigram_counts(s, np.arange(len(known))))
             left = np.bincount((known // size).astype(np.int64) - bases[s], weights=discount, minlength=len(keys))
-        _write_more(folder, f"more{s}", {2: counts[more].astype(np.uint64), 3: left[more] / counted[more]})
+        _write_more(folder, f"more{s}", {2: _narrow(counts[more]), 3: left[more] / counted[more]})
         return summary(keys, counts)
 
     _release(spark)

@@ -84,3 +84,10 @@ def test_nothing_to_learn_from_at_order_three(spark):
     assert lm.train_and_score(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string"), 3).first().score == 0
     null = lm.train_and_score(spark.createDataFrame([(None, ""), (None, None)], "doc_id bigint, text string"), 3).collect()
     assert len(null) == 2 and all(r.train_tokens == 2 for r in null)
+
+
+def test_counts_beyond_32_bits_keep_their_width(tmp_path):
+    for counts in ([1, 2, 3], [1, 2**33, 3], []):
+        lm._write(str(tmp_path), f"c{len(counts)}-{max(counts, default=0)}", lm._narrow(np.array(counts, np.uint64)))
+        found = lm.Model(str(tmp_path))._counts(f"c{len(counts)}-{max(counts, default=0)}", 0, len(counts))
+        assert found.tolist() == counts
