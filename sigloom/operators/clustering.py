@@ -1,77 +1,60 @@
-"""Arrival-order threads: candidates found in parallel, joined in order.
+"""Arrival-order threads: candidates found in parallel, joined by pointers.
 
-Each article's nearest earlier articles come from a block join, which is the heavy part and runs on all tasks.  The walk
-that then joins articles to threads depends on order only inside a connected set of candidates, so each such set is one
-group of its own, however many articles there are in all.
+Each article's nearest earlier articles come from a block join that keeps the best few only.  A judge looks at a pair
+alone, so each article points to the first of its candidates that is the same event; threads are where the pointers
+end, and are found by joins that double the distance each round, whatever the size of a thread.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import text as T
-from sigloom.operators.similarity import similar
+from sigloom.operators.similarity import best_matches
 from sigloom.sources.folders import ready_checkpoints
 
 #: The similarity from which a candidate counts, and from which it is the same event at once.
 FLOOR, SURE, CANDIDATES = 0.05, 0.80, 3
 
 
-def rule_judge(similarity: float, same_title: bool, shared_tokens: int) -> str:
+
+def rule_judge(similarity: Column, same_title: Column, shared_tokens: Column) -> Column:
     """A stand-in for a model: near-duplicate headlines are an event, headlines that share three words a story."""
-    if same_title or similarity >= SURE:
-        return "event"
-    return "story" if shared_tokens >= 3 else "different"
+    return F.when(same_title | (similarity >= SURE), "event").when(shared_tokens >= 3, "story").otherwise("different")
 
 
-def least_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id and set (the smallest id reachable) for every node: the smallest label of the neighbours, round by round, with
-    labels followed to their own labels, until nothing changes.  Each round's labels are checkpointed."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))
-    labels = nodes.select("id", F.col("id").alias("set"))
+def ends_of(pointers: DataFrame) -> DataFrame:
+    """pointers (id, to: null or itself at the end) -> id, end.  Pointers must not go in circles."""
+    now = pointers.select("id", F.coalesce("to", "id").alias("end")).checkpoint()
     while True:
-        near = both.join(labels.select(F.col("id").alias("other"), F.col("set").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
-        stepped = labels.join(near, "id", "left").select("id", F.least("set", F.coalesce("near", "set")).alias("next"), "set")
-        jumps = stepped.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        fresh = stepped.join(jumps, "next").select("id", F.least("next", "jump").alias("new"), "set").checkpoint()
-        labels = fresh.select("id", F.col("new").alias("set"))
-        if fresh.where("new <> set").isEmpty():
-            return labels
+        further = now.select(F.col("id").alias("end"), F.col("end").alias("next"))
+        fresh = now.join(further, "end").select("id", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")).checkpoint()
+        now = fresh.select("id", "end")
+        if fresh.where("moved").isEmpty():
+            return now
 
 
-def arrival_threads(rows: DataFrame, floor: float) -> DataFrame:
+def arrival_threads(rows: DataFrame, floor: float = FLOOR, judge: Callable[[Column, Column, Column], Column] = rule_judge) -> DataFrame:
     """rows (id, title, v of unit length) -> id, thread_id (the first member), storyline_id (its oldest kin).
 
     Articles come in order of id.  An article joins the thread of the likeliest of its best candidates that the judge
-    calls the same event; kin it calls a story only share a storyline; else it begins a thread.
+    calls the same event; kin it calls a story only share a storyline; else it begins a thread.  The judge takes the
+    similarity, whether the titles agree and how many of their words do, as columns.
     """
     ready_checkpoints(rows.sparkSession)
-    pairs = similar(rows, "id", "v", floor).checkpoint()
+    pairs = best_matches(rows, rows, "id", "v", CANDIDATES, floor, earlier=True)
     titles = rows.select("id", T.normalize_title(F.col("title")).alias("norm"), F.array_distinct(T.title_tokens(F.col("title"))).alias("tokens"))
-    sets = least_labels(pairs.select("a", "b"), rows.select("id"))
-    one, two = (titles.select(F.col("id").alias(k), F.col("norm").alias(f"n{k}"), F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", "similarity", (F.col("na") == F.col("nb")).alias("same"), F.size(F.array_intersect("ta", "tb")).alias("shared"))
-    candidates = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("a").alias("other"), "same", "shared")))
-    asked = found.groupBy(F.col("b").alias("id")).agg(F.slice(candidates, 1, CANDIDATES).alias("c"))
-    walk = sets.join(asked, "id", "left")
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        thread: dict[int, int] = {}
-        story: dict[int, int] = {}
-        for row in group.sort_values("id").itertuples():
-            kin = None
-            for c in row.c if row.c is not None else []:
-                verdict = rule_judge(-c["s"], c["same"], c["shared"])
-                if verdict == "event":
-                    thread[row.id] = thread[c["other"]]
-                    break
-                if verdict == "story" and kin is None:
-                    kin = thread[c["other"]]
-            own = thread.setdefault(row.id, row.id)
-            story.setdefault(own, story[kin] if kin is not None else own)
-        ids = sorted(thread)
-        return pd.DataFrame({"id": ids, "thread_id": [thread[i] for i in ids], "storyline_id": [story[thread[i]] for i in ids]})
-
-    return walk.groupBy("set").applyInPandas(resolve, "id bigint, thread_id bigint, storyline_id bigint")
+    others = titles.select(F.col("id").alias("other"), F.col("norm").alias("other_norm"), F.col("tokens").alias("other_tokens"))
+    found = pairs.join(titles, "id").join(others, "other")
+    verdict = judge(F.col("similarity"), F.col("norm") == F.col("other_norm"), F.size(F.array_intersect("tokens", "other_tokens")))
+    judged = found.select("id", "other", "place", verdict.alias("verdict"))
+    first = lambda v: F.min_by("other", F.when(F.col("verdict") == v, F.col("place")))
+    kin = judged.groupBy("id").agg(first("event").alias("event"), first("story").alias("story")).checkpoint()
+    threads = ends_of(rows.select("id").join(kin, "id", "left").select("id", F.col("event").alias("to")))
+    # A thread's storyline is that of the thread that its first member is kin to.
+    of_kin = kin.where("event is null and story is not null").join(threads.select(F.col("id").alias("story"), F.col("end").alias("to")), "story")
+    stories = ends_of(threads.where("id = end").select("id").join(of_kin.select("id", "to"), "id", "left"))
+    return threads.withColumnRenamed("end", "thread_id").join(stories.select(F.col("id").alias("thread_id"), F.col("end").alias("storyline_id")), "thread_id").select("id", "thread_id", "storyline_id")

@@ -53,8 +53,9 @@ def similar(rows: DataFrame, key: str, vector: str, threshold: float) -> DataFra
     return both.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def best_matches(asked: DataFrame, rows: DataFrame, key: str, vector: str, k: int, floor: float) -> DataFrame:
-    """The k nearest rows of each asked vector from ``floor`` up: the best k of every block pair, then of them all."""
+def best_matches(asked: DataFrame, rows: DataFrame, key: str, vector: str, k: int, floor: float, earlier: bool = False) -> DataFrame:
+    """The k nearest rows of each asked vector from ``floor`` up, other than itself or, with ``earlier``, of a smaller key
+    only: the best k of every block pair, then of them all."""
     n, m = max(1, -(-rows.count() // BLOCK)), max(1, -(-asked.count() // BLOCK))
     asks = _side(_blocks(asked, key, vector, m), "1").withColumn("block2", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     both = asks.join(_side(_blocks(rows, key, vector, n), "2"), "block2")
@@ -64,7 +65,7 @@ def best_matches(asked: DataFrame, rows: DataFrame, key: str, vector: str, k: in
             for row in batch.to_pylist():
                 (ids1, x1), (ids2, x2) = _read(row, "1"), _read(row, "2")
                 s = x1 @ x2.T
-                s[ids1[:, None] == ids2[None, :]] = -np.inf
+                s[(ids1[:, None] <= ids2[None, :]) if earlier else (ids1[:, None] == ids2[None, :])] = -np.inf
                 order = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(s, order, axis=1)
                 i, j = np.nonzero(best >= floor)

@@ -173,19 +173,21 @@ def pending_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads of articles in order of arrival, on their own vectors, by the rule judge."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.unit(F.col("embedding").cast("array<double>")).alias("v"))
-    rows = articles(spark, sf_dir).select("id", "title").join(vectors, "id")
-    return arrival_threads(rows, 0.35)
+    """Threads of articles in order of arrival, on their mean-centred vectors, by the rule judge."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    mean = F.broadcast(V.mean_vector(vectors, "v"))  # one row, as long as a vector
+    vectors = vectors.crossJoin(mean).select("id", V.unit(V.centred(F.col("v"), F.col("mean"))).alias("v"))
+    return arrival_threads(articles(spark, sf_dir).select("id", "title").join(vectors, "id"))
 
 
 @query()
 def probe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A probe for each of ten targets, by the labels of the documents that have vectors."""
-    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.unit(F.col("embedding").cast("array<double>")).alias("x"))
+    """A probe for each of ten targets: its vectors against those of the others, mean-centred."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    mean = F.broadcast(V.mean_vector(vectors, "v"))  # one row, as long as a vector
+    vectors = vectors.crossJoin(mean).select("id", "label", V.unit(V.centred(F.col("v"), F.col("mean"))).alias("x"))
     targets = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")))
-    found = train_targets(rows.join(vectors, "id").select(targets.alias("target"), "id", "y", "x"))
+    found = train_targets(vectors.select(targets.alias("target"), "id", "label", "x").select("target", "id", (F.col("label") == F.col("target")).cast("int").alias("y"), "x"))
     return found.select("target", "n", F.round("auc", 6).alias("auc"), "enabled")
 
 

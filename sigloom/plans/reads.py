@@ -13,8 +13,8 @@ W = f"with {THREADS}, "
 AS_OF = "(select max(l_shipdate) from lineitem)"
 
 
-def _as_of(threads_: DataFrame) -> DataFrame:
-    return F.broadcast(threads_.agg(F.max("last_update").alias("as_of")))  # one row
+def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return F.broadcast(table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").alias("as_of")))  # one row
 
 
 @query(f"with {THREADS} select thread_id, members, publishers, lifecycle, first_seen, last_update from rolled")
@@ -45,7 +45,7 @@ select (select count(*) from documents)::bigint as ingested, (select count(*) fr
 def radar_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a week brought in, removed and merged."""
     all_ = threads(spark, sf_dir)
-    week = all_.crossJoin(_as_of(all_)).where(F.col("last_update") >= F.col("as_of") - F.expr("interval 168 hours"))
+    week = all_.crossJoin(_as_of(spark, sf_dir)).where(F.col("last_update") >= F.col("as_of") - F.expr("interval 168 hours"))
     merged = F.coalesce(F.sum(F.when(F.col("members") > 1, F.col("members") - 1)), F.lit(0))
     rolled = week.agg(F.count("*").alias("threads"), merged.alias("merged"), F.count_if("resonant").alias("resonant"), F.count_if("summarised").alias("reports"))
     ingested = table(spark, sf_dir, "documents").agg(F.count("*").alias("ingested"))
@@ -92,7 +92,7 @@ select thread_id, lifecycle, publishers, resonant, n, n_resonant::bigint as n_re
 def catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads of the last fortnight with why they alert, and the counts of all of them."""
     all_ = threads(spark, sf_dir)
-    rows = all_.crossJoin(_as_of(all_)).where(F.col("last_update") >= F.col("as_of") - F.expr("interval 14 days"))
+    rows = all_.crossJoin(_as_of(spark, sf_dir)).where(F.col("last_update") >= F.col("as_of") - F.expr("interval 14 days"))
     totals = rows.agg(F.count("*").alias("n"), F.count_if("resonant").alias("n_resonant"), F.count_if(F.col("lifecycle") == "CONFIRMED").alias("n_confirmed"))
     reasons = F.concat_ws(",", F.when(F.col("lifecycle") == "CONFIRMED", "confirmed"), F.when(F.col("resonant"), "resonant"))
     return rows.crossJoin(F.broadcast(totals)).select("thread_id", "lifecycle", "publishers", "resonant", "n", "n_resonant", "n_confirmed", reasons.alias("reasons"))
@@ -104,7 +104,7 @@ select thread_id, target, reason, publishers from w order by reason, publishers
 def away_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best new threads of targets that matter."""
     all_ = threads(spark, sf_dir)
-    fresh = all_.crossJoin(_as_of(all_)).where((F.col("first_seen") >= F.col("as_of") - F.expr("interval 60 days")) & (F.col("resonant") | (F.col("lifecycle") == "CONFIRMED")) & F.col("high_attention"))
+    fresh = all_.crossJoin(_as_of(spark, sf_dir)).where((F.col("first_seen") >= F.col("as_of") - F.expr("interval 60 days")) & (F.col("resonant") | (F.col("lifecycle") == "CONFIRMED")) & F.col("high_attention"))
     reason = F.when((F.col("lifecycle") == "CONFIRMED") & F.col("resonant"), 0).when(F.col("lifecycle") == "CONFIRMED", 1).otherwise(2)
     return fresh.select("thread_id", "target", reason.alias("reason"), "publishers").orderBy("reason", F.desc("publishers"), "thread_id").limit(8)
 
@@ -171,7 +171,7 @@ select entity, count(distinct thread_id) as threads from e group by 1 having cou
 
 def _spikes(spark: SparkSession, sf_dir: str, least: int, limit: int) -> DataFrame:
     all_ = threads(spark, sf_dir)
-    recent = all_.crossJoin(_as_of(all_)).where(F.col("summarised") & (F.col("last_update") >= F.col("as_of") - F.expr("interval 900 days"))).select("thread_id")
+    recent = all_.crossJoin(_as_of(spark, sf_dir)).where(F.col("summarised") & (F.col("last_update") >= F.col("as_of") - F.expr("interval 900 days"))).select("thread_id")
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.upper(F.trim("p_brand")).alias("entity"))
     rows = members(spark, sf_dir).join(recent, "thread_id").join(names, "entity_id")
     return rows.groupBy("entity").agg(F.countDistinct("thread_id").alias("threads")).where(F.col("threads") >= least).orderBy(F.desc("threads"), "entity").limit(limit)
@@ -306,11 +306,11 @@ def storyline_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads(spark, sf_dir).select("target_id", "thread_id", place.alias("place")).where("place <= 6")
 
 
-@query(f"""with {MEMBERS}, r as (select thread_id, no, publisher, row_number() over (partition by thread_id order by (tier = 'primary') desc, "at" desc, no) as place from member)
+@query(f"""with {MEMBERS}, r as (select thread_id, no, publisher, row_number() over (partition by thread_id order by (tier = 'primary') desc, "at" desc, no, publisher, entity_id) as place from member)
 select thread_id, no, publisher, place::int as place from r where place <= 8""")
 def card_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of a card: the cited first, then the latest, eight at most."""
-    order = Window.partitionBy("thread_id").orderBy(F.desc(F.col("tier") == "primary"), F.desc("at"), "no")
+    order = Window.partitionBy("thread_id").orderBy(F.desc(F.col("tier") == "primary"), F.desc("at"), "no", "publisher", "entity_id")
     return members(spark, sf_dir).withColumn("place", F.row_number().over(order)).where("place <= 8").select("thread_id", "no", "publisher", "place")
 
 
@@ -321,7 +321,7 @@ def recency_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = threads(spark, sf_dir)
     bucket = F.when(F.to_date("last_update") == F.to_date("as_of"), "today").when(F.col("last_update") >= F.col("as_of") - F.expr("interval 7 days"), "week").otherwise("older")
     hours = F.expr("least(timestampdiff(second, last_update, as_of) div 3600, 9999)")
-    return all_.crossJoin(_as_of(all_)).select("thread_id", bucket.alias("bucket"), hours.cast("bigint").alias("hours"))
+    return all_.crossJoin(_as_of(spark, sf_dir)).select("thread_id", bucket.alias("bucket"), hours.cast("bigint").alias("hours"))
 
 
 @query("select conv_id, string_agg(role, '>' order by turn) as steps, count(*) as n from conversations group by 1")

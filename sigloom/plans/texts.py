@@ -22,11 +22,14 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("id", T.title_tokens(F.col("title")).alias("tokens"))
 
 
-@query(f"""with {ARTICLES}, n as (select id, {_NORM.format(t='title')} as norm from article),
-d as (select min(id) as id, norm from n where norm <> '' group by norm),
-t as (select id, list_distinct(list_filter(string_split(norm, ' '), lambda w: len(w) > 1)) as tokens from d where len(list_filter(string_split(norm, ' '), lambda w: len(w) > 1)) >= 3)
+_SIGNALS = f"array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(lower(title), '{T.VERSION}'), regexp_extract_all(lower(title), '{T.DATEISH}')))), ' ')"
+
+
+@query(f"""with {ARTICLES}, n as (select id, {_NORM.format(t='title')} as norm, {_SIGNALS} as signals from article),
+d as (select min(id) as id, norm, signals from n where norm <> '' group by norm, signals),
+t as (select id, signals, list_distinct(list_filter(string_split(norm, ' '), lambda w: len(w) > 1)) as tokens from d where len(list_filter(string_split(norm, ' '), lambda w: len(w) > 1)) >= 3)
 select a.id as a, b.id as b, round(len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))), 6)::double as similarity
-from t a join t b on a.id < b.id where len(list_intersect(a.tokens, b.tokens)) >= 0.8 * (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) and len(list_intersect(a.tokens, b.tokens)) > 0""")
+from t a join t b on a.id < b.id and a.signals = b.signals where len(list_intersect(a.tokens, b.tokens)) >= 0.8 * (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) and len(list_intersect(a.tokens, b.tokens)) > 0""")
 def near_dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different titles of 0.8 and more, equal titles being one class.  Titles meet in the shared token that
     is rarest by the prefix rule: of n tokens, the n - ceil(0.8 n) + 1 rarest suffice to meet any partner."""

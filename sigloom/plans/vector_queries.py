@@ -78,14 +78,15 @@ def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("vec_id", F.round("r", 5).alias("relevance"), (F.col("r") < 0.05).alias("gated"))
 
 
-@query("""with t as (select doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 2000)), '[a-z0-9]+')) as w from documents), h as (select doc_id, md5(w) as h from t)
+@query("""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), h as (select doc_id, md5(w) as h from t)
 select doc_id, ('0x' || substr(h, 31, 2))::int as bucket, sum(case when ('0x' || substr(h, 30, 1))::int % 2 = 1 then 1 else -1 end)::bigint as weight from h group by 1, 2""")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed sums of word hashes in 256 places."""
-    words = F.regexp_extract_all(F.lower(F.substring("text", 1, 2000)), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     hashed = table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("w")).select("doc_id", F.md5("w").alias("h"))
-    place = F.conv(F.substring("h", 31, 2), 16, 10).cast("int")
-    sign = F.when(F.conv(F.substring("h", 30, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
+    digit = lambda at: F.position(F.substring("h", at, 1), F.lit("0123456789abcdef")) - 1
+    place = 16 * digit(31) + digit(32)
+    sign = F.when(digit(30) % 2 == 1, 1).otherwise(-1)
     return hashed.select("doc_id", place.alias("bucket"), sign.alias("s")).groupBy("doc_id", "bucket").agg(F.sum("s").alias("weight"))
 
 

@@ -14,7 +14,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.substring("source", 4, 10).cast("int")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        F.substring(F.trim(F.regexp_extract("text", r"^[^\n.]*", 0)), 1, 120).alias("title"),
+        F.trim(F.regexp_extract("text", r"^[^\n.]*", 0)).alias("title"),
         F.col("text").alias("content"),
         F.col("source").alias("publisher"),
         "lang",
@@ -25,7 +25,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARTICLES = """article as (
-  select doc_id as id, substr(trim(regexp_extract(text, '^[^\\n.]*')), 1, 120) as title, text as content, source as publisher, lang,
+  select doc_id as id, trim(regexp_extract(text, '^[^\\n.]*')) as title, text as content, source as publisher, lang,
          'https://' || source || '.example/' || lang || '/' || doc_id as url,
          case when substr(source, 4)::int < 4 then 'primary' when substr(source, 4)::int < 10 then 'curated' else 'aggregated' end as tier,
          timestamp '2024-01-01' + to_minutes(doc_id) as created_at
