@@ -63,3 +63,9 @@ def mean_vector(rows: DataFrame, column: str, *keys: str) -> DataFrame:
 
 def centred(a: Column, mean: Column) -> Column:
     return F.zip_with(a, mean, lambda x, m: x.cast("double") - m)
+
+
+def features(a: Column, mean: Column) -> Column:
+    """The vector less the mean, over its length and a guard against zero; bound once, as in ``unit``."""
+    bound = F.transform(F.array(centred(a, mean)), lambda v: F.struct(v.alias("v"), (norm(v) + F.lit(1e-9)).alias("n")))
+    return F.get(F.transform(bound, lambda b: F.transform(b["v"], lambda x: x / b["n"])), F.lit(0))
