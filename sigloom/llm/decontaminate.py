@@ -128,7 +128,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = keep(candidates(postings, marks).groupBy("k", "item").agg(F.collect_list("at").alias("places")), "candidates")
     asked = found.select("k").distinct()
     texts = keyed.select("k", "row.text").join(F.broadcast(asked) if _few(asked) else asked, "k", "left_semi").distinct()
-    both = texts.join(found, "k").join(items.withColumnRenamed("words", "sought"), "item").withColumn("words", words_of(F.col("text")))
+    # Words are found once for a text, below the join, and not again for each of its items.
+    both = texts.select("k", words_of(F.col("text")).alias("words")).join(found, "k").join(items.withColumnRenamed("words", "sought"), "item")
     runs = F.flatten(F.transform("places", lambda at: _runs(F.col("words"), F.col("sought"), at, window)))
     hits = both.select("k", F.col("item_id").cast("string").alias("item_id"), _merged(runs).alias("runs")).where(F.size("runs") > 0)
     by_doc = hits.groupBy("k").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), _merged(F.flatten(F.collect_list("runs"))).alias("hit"))
