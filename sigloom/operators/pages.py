@@ -80,3 +80,73 @@ def unified_diffs(versions: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": part["key"], "no": part["no"], "added": [r[0] for r in rows], "removed": [r[1] for r in rows]})
 
     return versions.select("key", F.col("no"), "old", "new").mapInPandas(run, "key bigint, no bigint, added array<string>, removed array<string>")
+
+
+#: Elements without text that a monitor compares, and those that make a line.
+_VOLATILE, _LINED = {"script", "style", "noscript", "svg", "time"}, {"a", "p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "span"}
+_SHORT = {"div", "span"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_UNITS, _LEAST = "万kmw", 15
+
+
+class _Lines(HTMLParser):
+    """The texts of a page's links and blocks, by where each element's text begins and ends among the page's pieces."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.pieces: list[str] = []
+        self.spans: list[list] = []
+        self.open: list[tuple[str, int | None]] = []
+        self.volatile = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _VOID:
+            return
+        lined = tag in _LINED and not self.volatile
+        if lined:
+            self.spans.append([tag, len(self.pieces), None, dict(attrs).get("href") or ""])
+        self.open.append((tag, len(self.spans) - 1 if lined else None))
+        self.volatile += tag in _VOLATILE
+
+    def handle_endtag(self, tag: str) -> None:
+        if not any(t == tag for t, _ in self.open):
+            return
+        while self.open:
+            name, at = self.open.pop()
+            self.volatile -= name in _VOLATILE
+            if at is not None:
+                self.spans[at][2] = len(self.pieces)
+            if name == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        if data.strip() and not self.volatile:
+            self.pieces.append(data.strip())
+
+
+def lines_of(html: str | None) -> list[str]:
+    """LINK: and TEXT: lines of a page, each once, in order; counts and short loose texts are left out."""
+    parser = _Lines()
+    parser.feed(html or "")
+    parser.close()
+    lines: dict[str, None] = {}
+    for tag, start, end, href in parser.spans:
+        text = "".join(parser.pieces[start:end])
+        count = text[:-1] if len(text) > 1 and text[-1] in _UNITS else text
+        if not text or count.isdigit():
+            continue
+        if tag == "a":
+            lines[f"LINK: {text} ({href})"] = None
+        elif tag not in _SHORT or len(text) > _LEAST:
+            lines[f"TEXT: {text}"] = None
+    return list(lines)
+
+
+def compared_lines(pages: DataFrame) -> DataFrame:
+    """page_id, lines of every page (page_id, html); a null or empty page has none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"page_id": part["page_id"], "lines": [lines_of(x) for x in part["html"]]})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, lines array<string>")

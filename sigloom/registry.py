@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigloom.plans import base, desk_queries, lists, matching, reads, rules, scalar_queries, screen_queries, state_queries, stream_queries, texts, vector_queries
+from sigloom.plans import base, desk_queries, lists, matching, reads, rules, scalar_queries, screen_queries, state_queries, stream_queries, texts, upkeep_queries, vector_queries
 
-MODULES = (desk_queries, lists, matching, reads, rules, scalar_queries, screen_queries, state_queries, stream_queries, texts, vector_queries)
+MODULES = (desk_queries, lists, matching, reads, rules, scalar_queries, screen_queries, state_queries, stream_queries, texts, upkeep_queries, vector_queries)
 QUERIES, SQL = base.QUERIES, base.SQL
