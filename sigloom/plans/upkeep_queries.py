@@ -10,9 +10,9 @@ from sigloom.functions import vectors as V
 from sigloom.operators.similarity import best_matches
 from sigloom.operators.titles import classes_of, near_classes
 from sigloom.plans.base import query, table
-from sigloom.plans.texts import _HOST, _NORM, _PATH, _SIGNALS
+from sigloom.plans.texts import _HOST, _NORM, _PATH, _SIGNALS, _any, _under
 from sigloom.sources import cases
-from sigloom.sources.bind import ARTICLES, articles
+from sigloom.sources.bind import ARTICLES, MEMBERS, THREADS, articles, members, threads
 from sigloom.sources.folders import new_folder
 
 _UNIT = "u as (select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as c from embeddings where list_inner_product(embedding::double[], embedding::double[]) > 0)"
@@ -403,3 +403,88 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(done, "SUCCESS").when(F.col("reached"), "NO_NEW_ITEMS").otherwise("FAILED")
     error = F.when(done | (F.col("reached") & F.col("delivered")), None).when(F.col("reached"), "Routes reachable but returned 0 items").otherwise("No executable routes resolved")
     return runs.select("run", "routes", "saved", status.alias("status"), error.alias("error"))
+
+
+#: Fixed value: hosts whose items only firehoses deliver.
+FIREHOSE_ITEMS = ("arxiv.org",)
+STAMPED = [
+    (-1, "https://deepmind.google/blog/new-model", "curated"), (-2, "https://arxiv.org/abs/2401.00001", "primary"), (-3, "https://export.arxiv.org/abs/1", "curated"), (-4, "https://www.nasa.gov/x", None), (-5, "https://example.org/x", None),
+    (-6, "https://openai.com/customer-stories/a", "curated"), (-7, None, None), (-8, "https://openai.com/index/a", "aggregated"), (-9, "https://arxiv.org.example.org/", "primary"), (-10, "https://github.com/a/b", "curated"), (-11, "https://www.nasa.gov/careers/", None),
+]
+_FIRST_PARTY = f"({' or '.join(f'''h like '%{s}' ''' for s in T.FIRST_PARTY_SUFFIXES)} or {_under('h', T.FIRST_PARTY_DOMAINS)})"
+_TRUSTED = f"{_FIRST_PARTY} and not {_any('p', T.MARKETING)} and not ({_under('h', T.CODE_HOSTS)} and not {_any('p', T.OFFICIAL_PATHS)})"
+
+
+@query(f"""with {cases.values("s", STAMPED, "id bigint, url string, tier string")}, a as (select * from s union all select page_id, url, case page_id % 3 when 0 then 'curated' when 1 then 'primary' end from pages),
+b as (select id, tier, {_HOST.format(u="coalesce(url, '')")} as h, {_PATH.format(u="coalesce(url, '')")} as p from a)
+select id, case when tier is null and {_FIRST_PARTY} then 'primary' when tier is null then 'aggregated' when tier <> 'aggregated' and {_under('h', FIREHOSE_ITEMS)} then 'aggregated' when tier = 'curated' and {_TRUSTED} then 'primary' else tier end as tier from b""")
+def restamped_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers of stored articles put right: a missing one by the address's floor, what only firehoses deliver aggregated, a
+    curated one primary where the first-party floor has since grown to hold it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, "curated").when(F.col("page_id") % 3 == 1, "primary"))
+    rows = cases.literal(spark, STAMPED, "id bigint, url string, tier string").union(pages)
+    url, tier = F.col("url"), F.col("tier")
+    fresh = F.when(T.first_party(url), "primary").otherwise("aggregated")
+    new = F.when(tier.isNull(), fresh).when((tier != "aggregated") & T.under(T.host(url), FIREHOSE_ITEMS), "aggregated").when(tier == "curated", T.tier_of(url, tier)).otherwise(tier)
+    return rows.select("id", new.alias("tier"))
+
+
+@query(f"""with {MEMBERS}, a as (select thread_id, count(distinct publisher) as publishers, bool_or(tier = 'primary') as has, bool_or(no = 7) as unstamped from member group by 1),
+t as (select *, case when thread_id % 3 = 0 then 'CONFIRMED' when publishers >= 2 then 'CORROBORATED' else 'LEAD' end as lifecycle from a)
+select thread_id, case when lifecycle = 'CONFIRMED' and not has and not unstamped then case when publishers >= 2 then 'CORROBORATED' else 'LEAD' end else lifecycle end as lifecycle, lifecycle = 'CONFIRMED' and not has and not unstamped as demoted from t""")
+def demoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads confirmed without a primary member fall to what their publishers earn; those with a member that has no
+    stamp (here the seventh) are left alone."""
+    rows = members(spark, sf_dir).groupBy("thread_id", "publisher").agg(F.bool_or(F.col("tier") == "primary").alias("has"), F.bool_or(F.col("no") == 7).alias("unstamped"))
+    found = rows.groupBy("thread_id").agg(F.count("publisher").alias("publishers"), F.bool_or("has").alias("has"), F.bool_or("unstamped").alias("unstamped"))
+    earned = F.when(F.col("publishers") >= 2, "CORROBORATED").otherwise("LEAD")
+    lifecycle = F.when(F.col("thread_id") % 3 == 0, "CONFIRMED").otherwise(earned)
+    found = found.withColumn("lifecycle", lifecycle).withColumn("demoted", (F.col("lifecycle") == "CONFIRMED") & ~F.col("has") & ~F.col("unstamped"))
+    return found.select("thread_id", F.when(F.col("demoted"), earned).otherwise(F.col("lifecycle")).alias("lifecycle"), "demoted")
+
+
+@query("""with s as (select user_id as source, arg_max(k, (ts, event_id)) as k, count(*) filter (event_type = 'error') as failures, count(*) filter (event_type = 'purchase') as good from (select *, json_extract_string(props, '$.k')::int % 3 as k from events) group by 1),
+t as (select *, case k when 0 then 'RATE_LIMITED' when 1 then 'UNKNOWN_ERROR' else 'TIMEOUT' end as kind from s)
+select source, kind, case when kind = 'RATE_LIMITED' or (kind = 'UNKNOWN_ERROR' and good = 0) then 0 else failures end as failures, kind = 'RATE_LIMITED' or (kind = 'UNKNOWN_ERROR' and good = 0) as released from t""")
+def released_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose failures weren't their own start afresh: refused for a whole host, or never answered and failed for
+    no known reason."""
+    k = F.get_json_object("props", "$.k").cast("int") % 3
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(
+        F.max_by(k, F.struct("ts", "event_id")).alias("k"), F.count_if(F.col("event_type") == "error").alias("failures"), F.count_if(F.col("event_type") == "purchase").alias("good")
+    )
+    kind = F.when(F.col("k") == 0, "RATE_LIMITED").when(F.col("k") == 1, "UNKNOWN_ERROR").otherwise("TIMEOUT")
+    released = (F.col("kind") == "RATE_LIMITED") | ((F.col("kind") == "UNKNOWN_ERROR") & (F.col("good") == 0))
+    return rows.withColumn("kind", kind).select("source", "kind", F.when(released, 0).otherwise(F.col("failures")).alias("failures"), released.alias("released"))
+
+
+#: Where the links that a summary cites begin and end.
+ANNEX, BESIDE, LINK = "摘要引用来源", "重复/佐证来源", r"\]\((https?://[^)]+)\)"
+_SUMMARY = f"'text [x](https://no.example/1) {ANNEX}' || case when m.page_id % 4 = 0 then '' else chr(10) || '- [one](' || m.url || ')' || chr(10) || '- [two](https://other.example/)' end || case when m.page_id % 5 = 0 then '' else ' {BESIDE} [three](' || coalesce(n.url, 'https://gone.example/') || ')' end"
+
+
+@query(f"""with s as (select m.page_id // 2 as thread_id, {_SUMMARY} as summary from pages m left join pages n on n.page_id = m.page_id + 1 where m.page_id % 2 = 0),
+c as (select thread_id, unnest(regexp_extract_all(split_part(substr(summary, position('{ANNEX}' in summary) + length('{ANNEX}')), '{BESIDE}', 1), '\\]\\((https?://[^)]+)\\)', 1)) as url from s)
+select c.thread_id, list_sort(list(distinct page_id)) as cited from c join pages p on p.url = c.url and p.page_id // 2 = c.thread_id group by 1""")
+def cited_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members that a summary cites, from the links of its annex: not those before it, nor those listed beside.  Pages
+    come in threads of two; a thread whose annex links to none of its members has no row."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("page_id div 2").alias("thread_id"))
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    leads = pages.where("page_id % 2 = 0").join(after, "page_id", "left")
+    links = F.when(F.col("page_id") % 4 == 0, "").otherwise(F.concat(F.lit("\n- [one]("), "url", F.lit(")\n- [two](https://other.example/)")))
+    beside = F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit(f" {BESIDE} [three]("), F.coalesce("next", F.lit("https://gone.example/")), F.lit(")")))
+    summary = F.concat(F.lit(f"text [x](https://no.example/1) {ANNEX}"), links, beside)
+    annex = F.substring_index(F.element_at(F.split("summary", ANNEX, 2), 2), BESIDE, 1)
+    cited = leads.select("thread_id", summary.alias("summary")).select("thread_id", F.explode(F.regexp_extract_all(annex, F.lit(LINK), F.lit(1))).alias("url"))
+    return cited.join(pages, ["thread_id", "url"]).groupBy("thread_id").agg(F.sort_array(F.collect_set("page_id")).alias("cited"))
+
+
+@query(f"""with {THREADS}, a as (select id, id % 3 = 0 as gated, id % 4 = 0 as processed from (select doc_id as id from documents))
+select 'thread' as kind, thread_id as id, case when summarised then publishers end as fused_sources, case when summarised then lifecycle end as fused_lifecycle, null::boolean as processed from thread union all select 'article', id, null, null, processed or gated from a""")
+def fused_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summarised threads get the snapshot of their last fusion from their present figures; gated articles are settled."""
+    of = F.col("summarised")
+    rows = threads(spark, sf_dir).select(F.lit("thread").alias("kind"), F.col("thread_id").alias("id"), F.when(of, F.col("publishers")).alias("fused_sources"), F.when(of, F.col("lifecycle")).alias("fused_lifecycle"), F.lit(None).cast("boolean").alias("processed"))
+    settled = table(spark, sf_dir, "documents").select(F.lit("article"), "doc_id", F.lit(None).cast("bigint"), F.lit(None).cast("string"), (F.col("doc_id") % 4 == 0) | (F.col("doc_id") % 3 == 0))
+    return rows.union(settled)
