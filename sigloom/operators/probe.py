@@ -1,4 +1,4 @@
-"""A linear probe for each target: logistic regression by plain gradient steps over sums that Spark adds up."""
+"""A linear probe for each target: logistic regression by plain gradient steps, one task to a target, and its use on all rows."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the fit.
 STEPS, RATE, DECAY, FOLDS, LEAST_EACH = 300, 0.5, 1.0, 5, 20
+#: Precision from which a probe adds, and the least score that may; recall that a veto keeps, and the
+#: highest score that it may have; positives that a precision needs.
+ADD_PRECISION, ADD_FLOOR, VETO_RECALL, VETO_CEIL, LEAST_FOUND = 0.90, 0.80, 0.97, 0.20, 5
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -31,8 +34,21 @@ def area(scores: np.ndarray, y: np.ndarray) -> float:
     return float((ranks[y == 1].sum() - positive * (positive + 1) / 2) / (positive * (len(y) - positive)))
 
 
+def thresholds(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The score from which a probe adds, the last down to which precision holds, and that up to which it vetoes; equal
+    scores count together."""
+    order = np.argsort(-p, kind="stable")
+    s, found = p[order], np.cumsum(y[order])
+    whole = np.append(s[1:] != s[:-1], True)
+    good = s[whole & (found >= ADD_PRECISION * np.arange(1, len(s) + 1)) & (found >= LEAST_FOUND)]
+    positive = np.sort(p[y == 1])
+    veto = positive[max(0, int((1 - VETO_RECALL) * len(positive)) - 1)] if len(positive) else 0.0
+    return min(max(good[-1] if len(good) else 1.01, ADD_FLOOR), 0.99), max(min(veto, VETO_CEIL), 0.0)
+
+
 def train_targets(rows: DataFrame) -> DataFrame:
-    """rows (target, id, y, x array<double>) -> target, n, auc by folds of the id's hash, enabled, weights, bias.
+    """rows (target, id, y, x array<double>) -> target, n, auc by folds of the id's hash, enabled, weights, bias and the
+    thresholds by the folds' scores.
 
     A target's labels are a bounded group (people or rules make them), so each target is one task's work.
     """
@@ -49,9 +65,10 @@ def train_targets(rows: DataFrame) -> DataFrame:
                 scores[fold == k] = x[fold == k] @ w + b
             auc = area(scores, y)
         w, b = fit(x, y)
-        return pd.DataFrame({"target": [key[0]], "n": [len(y)], "auc": [auc], "enabled": [bool(enough and auc >= 0.9)], "weights": [w.tolist()], "bias": [b]})
+        add, veto = thresholds(1 / (1 + np.exp(-scores)), y) if enough else (0.99, 0.0)
+        return pd.DataFrame({"target": [key[0]], "n": [len(y)], "auc": [auc], "enabled": [bool(enough and auc >= 0.9)], "weights": [w.tolist()], "bias": [b], "add_t": [add], "veto_t": [veto]})
 
-    return folded.groupBy("target").applyInPandas(one, "target bigint, n bigint, auc double, enabled boolean, weights array<double>, bias double")
+    return folded.groupBy("target").applyInPandas(one, "target bigint, n bigint, auc double, enabled boolean, weights array<double>, bias double, add_t double, veto_t double")
 
 
 def apply_probe(rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -66,3 +83,15 @@ def apply_probe(rows: DataFrame, models: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(p), target)), pa.array(p)], names=["id", "target", "p"])
 
     return rows.select("id", "x").mapInArrow(run, "id bigint, target bigint, p double")
+
+
+def changes(scores: DataFrame, probes: DataFrame, relations: DataFrame) -> DataFrame:
+    """What probes (target, add_t, veto_t) change by scores (thread_id, target, p) among relations (thread_id, target,
+    source, verdict): relations that they add, those that they veto before any verdict, and new scores."""
+    probes = F.broadcast(probes)  # a row for each target with a probe
+    rows = scores.join(probes, "target").join(relations, ["thread_id", "target"], "left")
+    new = F.col("source").isNull()
+    vetoed = F.col("verdict").isNull() & F.col("source").isin("match", "route") & (F.col("p") <= F.col("veto_t"))
+    rows = rows.withColumn("change", F.when(new & (F.col("p") >= F.col("add_t")), "added").when(~new, F.when(vetoed, "vetoed").otherwise("scored"))).where("change is not null")
+    final = F.when(F.col("change") == "vetoed", False).otherwise(F.col("verdict"))
+    return rows.select("thread_id", F.col("target").cast("bigint").alias("target"), "change", F.col("p").alias("score"), F.coalesce("source", F.lit("model")).alias("source"), final.alias("verdict"))

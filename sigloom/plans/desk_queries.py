@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import text as T
 from sigloom.functions import vectors as V
+from sigloom.operators.probe import ADD_FLOOR, ADD_PRECISION, LEAST_FOUND, VETO_CEIL, VETO_RECALL, changes
 from sigloom.plans import base, screen_queries
 from sigloom.plans.base import query, table
 from sigloom.plans.texts import _HOST, _PATH, _any
@@ -110,11 +111,6 @@ def modal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.mean_vector(rows.join(modal, "n"), "v").select(F.posexplode("mean").alias("i", "m")).select("i", F.round("m", 6).alias("mean"))
 
 
-#: Precision from which a probe adds, and the least score that may; recall that a veto keeps, and the
-#: highest score that it may have; positives that a precision needs.
-ADD_PRECISION, ADD_FLOOR, VETO_RECALL, VETO_CEIL, LEAST_FOUND = 0.90, 0.80, 0.97, 0.20, 5
-
-
 @query(f"""with s as (select lang as target, quality as y, round(1 / (1 + exp(-(n_chars - 1500) / 1500.0)), 4) as score from documents join labels using (doc_id)), g as (select target, score, count(*) as n, sum(y) as pos from s group by 1, 2),
 c as (select *, sum(n) over d as seen, sum(pos) over d as tp, sum(pos) over u as below, sum(pos) over (partition by target) as p from g window d as (partition by target order by score desc), u as (partition by target order by score))
 select target, sum(pos)::bigint as n_pos, sum(n - pos)::bigint as n_neg, least(greatest(coalesce(min(case when tp / seen >= {ADD_PRECISION} and tp >= {LEAST_FOUND} then score end), 1.01), {ADD_FLOOR}), 0.99)::double as add_threshold,
@@ -156,13 +152,7 @@ def probe_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.get(F.array(*[F.lit(x) for x in ("match", "route", "model", "planned")]), (F.col("o_orderkey") % 4).cast("int"))
     verdict = F.when(F.col("o_orderkey") % 7 == 0, True).when(F.col("o_orderkey") % 7 == 1, False)
     relations = orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("thread_id"), ((F.col("o_custkey") + moved) % 5).alias("target"), source.alias("source"), verdict.alias("verdict"))
-    probes = F.broadcast(cases.literal(spark, PROBES, PROBE))  # a row for each target with a probe
-    rows = scores.join(probes, "target").join(relations, ["thread_id", "target"], "left")
-    new = F.col("source").isNull()
-    vetoed = F.col("verdict").isNull() & F.col("source").isin("match", "route") & (F.col("p") <= F.col("veto_t"))
-    rows = rows.withColumn("change", F.when(new & (F.col("p") >= F.col("add_t")), "added").when(~new, F.when(vetoed, "vetoed").otherwise("scored"))).where("change is not null")
-    final = F.when(F.col("change") == "vetoed", False).otherwise(F.col("verdict"))
-    return rows.select("thread_id", F.col("target").cast("bigint").alias("target"), "change", F.col("p").alias("score"), F.coalesce("source", F.lit("model")).alias("source"), final.alias("verdict"))
+    return changes(scores, cases.literal(spark, PROBES, PROBE), relations)
 
 
 ALIASES = [("g", "Gemini 3.5"), ("g", "Gemini 4 Pro"), ("g", "gemini"), ("g", "Bard"), ("o", "GPT-5"), ("o", "GPT-4.1"), ("o", "o3"), ("c", "Opus 5"), ("c", None), ("c", "opus 4.5 max")]

@@ -9,9 +9,10 @@ from sigloom.functions import text as T
 from sigloom.functions import vectors as V
 from sigloom.operators.clustering import arrival_threads
 from sigloom.operators.pages import readable_pages, unified_diffs
-from sigloom.operators.probe import train_targets
+from sigloom.operators.probe import apply_probe, changes, train_targets
 from sigloom.plans.base import query, table
 from sigloom.sources.bind import ARTICLES, articles
+from sigloom.sources.folders import new_folder
 
 _ALIASES = "al as (select item_id as target_id, lower(list_filter(regexp_split_to_array(text, '[^A-Za-zÀ-ÿ]+'), lambda w: len(w) >= 7)[1]) as alias from benchmark)"
 
@@ -180,15 +181,38 @@ def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrival_threads(articles(spark, sf_dir).select("id", "title").join(vectors, "id"))
 
 
-@query()
-def probe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A probe for each of ten targets: its vectors against those of the others, mean-centred."""
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, label and x, what a probe sees of a vector: mean-centred, of length one."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
     mean = F.broadcast(V.mean_vector(vectors, "v"))  # one row, as long as a vector
-    vectors = vectors.crossJoin(mean).select("id", "label", V.unit(V.centred(F.col("v"), F.col("mean"))).alias("x"))
+    return vectors.crossJoin(mean).select("id", "label", V.unit(V.centred(F.col("v"), F.col("mean"))).alias("x"))
+
+
+def _trained(rows: DataFrame) -> DataFrame:
+    """A probe for each of ten targets: the vectors of its label against those of the others."""
     targets = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")))
-    found = train_targets(vectors.select(targets.alias("target"), "id", "label", "x").select("target", "id", (F.col("label") == F.col("target")).cast("int").alias("y"), "x"))
-    return found.select("target", "n", F.round("auc", 6).alias("auc"), "enabled")
+    return train_targets(rows.select(targets.alias("target"), "id", "label", "x").select("target", "id", (F.col("label") == F.col("target")).cast("int").alias("y"), "x"))
+
+
+@query()
+def probe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe for each of ten targets: its vectors against those of the others, mean-centred."""
+    return _trained(_probed(spark, sf_dir)).select("target", "n", F.round("auc", 6).alias("auc"), "enabled")
+
+
+@query()
+def probe_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes fitted on the even vectors, whose labels are known, and used on the odd ones: what they change among the
+    relations that a matcher made, which takes label + 1 for every third.  The models are written between fit and use."""
+    rows = _probed(spark, sf_dir)
+    at = f"{new_folder(spark, 'probes')}/models"
+    _trained(rows.where("id % 2 = 0")).write.parquet(at)
+    models = spark.read.parquet(at)
+    used = rows.where("id % 2 = 1")
+    scores = apply_probe(used.select("id", "x"), models).select(F.col("id").alias("thread_id"), "target", "p")
+    matched = (F.col("label") + F.when(F.col("id") % 3 == 0, 1).otherwise(0)).cast("bigint")
+    relations = used.where("id % 5 <> 0").select(F.col("id").alias("thread_id"), matched.alias("target"), F.lit("match").alias("source"), F.when(F.col("id") % 7 == 0, True).alias("verdict"))
+    return changes(scores, models.where("enabled").select("target", "add_t", "veto_t"), relations).withColumn("score", F.round("score", 6))
 
 
 @query()
