@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -150,3 +151,41 @@ def compared_lines(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": part["page_id"], "lines": [lines_of(x) for x in part["html"]]})
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, lines array<string>")
+
+
+#: Entries of a feed that a monitor compares, and what a feed without any reads.
+ENTRIES, NO_ENTRIES = 10, "TEXT: No items found in feed."
+
+
+def feed_lines(xml: str | None) -> list[str]:
+    """A line for the title and one for the link of each of a feed's first ENTRIES entries, RSS or Atom; a feed that can't
+    be read has none."""
+    lines: list[str] = []
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return [NO_ENTRIES]
+    entries = [x for x in root.iter() if x.tag.rsplit("}", 1)[-1] in ("item", "entry")]
+    for entry in entries[:ENTRIES]:
+        title = link = ""
+        for part in entry:
+            name = part.tag.rsplit("}", 1)[-1]
+            if name == "title":
+                title = " ".join("".join(part.itertext()).split())
+            elif name == "link":
+                link = link or part.get("href") or (part.text or "").strip()
+        lines.append(f"TEXT: {title}")
+        if link:
+            lines.append(f"LINK: {title} ({link})")
+    return lines or [NO_ENTRIES]
+
+
+def scanned(rows: DataFrame) -> DataFrame:
+    """page_id, feed, lines of every monitored address (page_id, feed, html): of a feed its entries, of a page its text."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            lines = [feed_lines(x) if feed else lines_of(x) for x, feed in zip(part["html"], part["feed"], strict=True)]
+            yield pd.DataFrame({"page_id": part["page_id"], "feed": part["feed"], "lines": lines})
+
+    return rows.select("page_id", "feed", "html").mapInPandas(run, "page_id bigint, feed boolean, lines array<string>")

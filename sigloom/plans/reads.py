@@ -378,20 +378,26 @@ def running_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("thread_id").agg(F.max("sources").cast("int").alias("sources"), F.max("step").alias("steps"))
 
 
-@query()
+def _levels(most: int = 2**40) -> list[int]:
+    """The counts of publishers at which a thread that gains them one by one has materially grown: each a quarter more
+    than the one before.  A fixed, short list, whatever the data."""
+    found = [1]
+    while found[-1] < most:
+        found.append(max(found[-1] + 1, -(-5 * found[-1] // 4)))
+    return found
+
+
+@query(f"""with recursive {MEMBERS}, f as (select thread_id, publisher, min(struct_pack(a := "at", n := no)) as first from member group by 1, 2),
+r as (select thread_id, first.a as "at", row_number() over (partition by thread_id order by first, publisher) as n from f),
+level(n) as (select 1::bigint union all select greatest(n + 1, ceil(n * 1.25))::bigint from level where n <= (select max(n) from r))
+select thread_id, max(r.n)::int as baseline, arg_max("at", r.n) as last_material from r join level using (n) group by 1""")
 def material_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replays each thread in order of arrival: the baseline moves only when growth is material."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "no", "publisher")))
-    start = F.expr("struct(cast(array() as array<bigint>) as seen, 0 as base, cast(null as timestamp_ntz) as last)")
-
-    def step(state, member):
-        seen = F.array_union(state["seen"], F.array(member["publisher"]))
-        grown = F.size(seen) - state["base"]
-        moves = (grown > 0) & ((state["base"] <= 0) | (grown / F.greatest(state["base"], F.lit(1)) >= 0.25))
-        return F.struct(seen.alias("seen"), F.when(moves, F.size(seen)).otherwise(state["base"]).alias("base"), F.when(moves, member["at"]).otherwise(state["last"]).alias("last"))
-
-    folded = members(spark, sf_dir).groupBy("thread_id").agg(ordered.alias("m")).select("thread_id", F.aggregate("m", start, step).alias("s"))
-    return folded.select("thread_id", F.col("s.base").alias("baseline"), F.col("s.last").alias("last_material"))
+    """Replays each thread in order of arrival: the baseline moves only when growth is material.  Only a publisher's first
+    arrival can move it, so members are reduced to those before any thread is put in order."""
+    first = members(spark, sf_dir).groupBy("thread_id", "publisher").agg(F.min(F.struct("at", "no")).alias("first"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("thread_id").orderBy("first", "publisher")))
+    moved = ranked.where(F.col("n").isin(*_levels()))
+    return moved.groupBy("thread_id").agg(F.max("n").alias("baseline"), F.max_by("first.at", "n").alias("last_material"))
 
 
 _FACT = "case when lifecycle = 'CONFIRMED' then 'confirmed' when lifecycle = 'CORROBORATED' or publishers >= 2 then 'corroborated' else 'lead' end"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigloom.functions import text as T
 from sigloom.functions import vectors as V
 from sigloom.operators.similarity import best_matches
+from sigloom.operators.threads import material, rank, worth_summary
 from sigloom.operators.titles import classes_of, near_classes
 from sigloom.plans.base import query, table
 from sigloom.plans.texts import _HOST, _NORM, _PATH, _SIGNALS, _any, _under
@@ -131,6 +132,23 @@ def monitor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared_lines(table(spark, sf_dir, "pages")).select("page_id", F.posexplode("lines").alias("no", "line"))
 
 
+FEEDS = [
+    (-1, "<rss><channel><item><title>One &amp; more</title><link>https://example.org/1</link></item><item><title>Two</title></item></channel></rss>"),
+    (-2, '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><link href="https://example.org/a"/></entry></feed>'), (-3, "<rss><channel/></rss>"), (-4, "not xml"), (-5, None),
+]
+
+
+@query()
+def monitor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pass of the monitors finds at each address, a feed's first entries or a page's lines: how many lines, and
+    the digest that the next pass compares."""
+    from sigloom.operators.pages import scanned
+
+    feeds = cases.literal(spark, FEEDS, "page_id bigint, html string").select("page_id", F.lit(True).alias("feed"), "html")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.lit(False).alias("feed"), "html").union(feeds)
+    return scanned(rows).select("page_id", "feed", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("content_hash"))
+
+
 #: What monitors keep, ignore and watch for: by conv_id % 4.
 POLICIES = [(0, None, None, "none"), (1, " The ", None, "none"), (2, None, "and", "none"), (3, None, None, "whole_page_change")]
 POLICY = "k bigint, keep string, ignored string, goal string"
@@ -494,3 +512,23 @@ def fused_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = threads(spark, sf_dir).select(F.lit("thread").alias("kind"), F.col("thread_id").alias("id"), F.when(of, F.col("publishers")).alias("fused_sources"), F.when(of, F.col("lifecycle")).alias("fused_lifecycle"), F.lit(None).cast("boolean").alias("processed"))
     settled = table(spark, sf_dir, "documents").select(F.lit("article"), "doc_id", F.lit(None).cast("bigint"), F.lit(None).cast("string"), (F.col("doc_id") % 4 == 0) | (F.col("doc_id") % 3 == 0))
     return rows.union(settled)
+
+
+@query(f"""with {THREADS}, f as (select thread_id, bool_or(tier = 'primary') as p, bool_or(publisher % 7 = 0) as a from member group by 1),
+g as (select t.*, p, a, thread_id % 4 as before, case lifecycle when 'CONFIRMED' then 2 when 'CORROBORATED' then 1 else 0 end > thread_id % 3 as risen from thread t join f using (thread_id)),
+d as (select *, case when thread_id % 11 = 0 then 'no target' when thread_id % 13 = 0 then 'elsewhere' when summarised and not (risen or (publishers > before and (before = 0 or (publishers - before) / before >= 0.25))) then 'kept'
+  when not (p or a or lifecycle = 'CONFIRMED' or high_attention or resonant or publishers >= 3) then 'gated' when not summarised and publishers < 2 then 'extractive' when summarised then 'updated' else 'fused' end as decision from g)
+select thread_id, decision, case when decision in ('extractive', 'updated', 'fused') then publishers else before end as fused_sources from d""")
+def fusion_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one pass of fusion does with each thread, the first rule that holds: nobody's news, told on another thread, no
+    material growth since its summary, not worth one, one account that is quoted, else a synthesis, new or updated; and
+    the publishers that its last fusion saw from then on."""
+    flags = members(spark, sf_dir).groupBy("thread_id").agg(F.bool_or(F.col("tier") == "primary").alias("p"), F.bool_or(F.col("publisher") % 7 == 0).alias("a"))
+    before = F.col("thread_id") % 4
+    grown = material(F.col("thread_id") % 3, rank(F.col("lifecycle")), before, F.col("publishers"))
+    worth = worth_summary(F.col("p"), F.col("a"), F.col("lifecycle"), F.col("high_attention"), F.col("resonant"), F.col("publishers"))
+    told = F.col("summarised")
+    decision = F.when(F.col("thread_id") % 11 == 0, "no target").when(F.col("thread_id") % 13 == 0, "elsewhere").when(told & ~grown, "kept").when(worth == "none", "gated")
+    decision = decision.when(~told & (F.col("publishers") < 2), "extractive").when(told, "updated").otherwise("fused")
+    rows = threads(spark, sf_dir).join(flags, "thread_id").withColumn("decision", decision)
+    return rows.select("thread_id", "decision", F.when(F.col("decision").isin("extractive", "updated", "fused"), F.col("publishers")).otherwise(before).alias("fused_sources"))

@@ -3,7 +3,9 @@
 import numpy as np
 
 from sigloom.operators import probe
-from sigloom.operators.pages import compared_lines, lines_of
+from sigloom.operators.pages import compared_lines, feed_lines, lines_of
+from sigloom.plans import reads
+from sigloom.sources.bind import members
 
 
 def test_lines_of_a_page():
@@ -71,3 +73,27 @@ def test_probes_are_fitted_and_used(spark):
             elif p >= m.add_t:
                 want[i, t] = ("added", None)
     assert found == want and {c for c, _ in want.values()} >= {"scored", "added"}
+
+
+def test_feed_lines():
+    feed = "<rss><channel><title>t</title>" + "".join(f"<item><title>n{i}</title><link>https://e.org/{i}</link></item>" for i in range(12)) + "</channel></rss>"
+    assert feed_lines(feed) == [x for i in range(10) for x in (f"TEXT: n{i}", f"LINK: n{i} (https://e.org/{i})")]
+    assert feed_lines(None) == feed_lines("") == feed_lines("<rss/>") == feed_lines("<a>") == ["TEXT: No items found in feed."]
+    assert feed_lines('<feed xmlns="x"><entry><title>A <b>b</b></title><link href="u"/></entry><entry/></feed>') == ["TEXT: A b", "LINK: A b (u)", "TEXT: "]
+
+
+def test_material_replay_is_a_walk_over_all_members(spark):
+    found = {r.thread_id: (r.baseline, r.last_material) for r in reads.material_replay(spark, "/root/testdata/sf0.001").collect()}
+    threads = {}
+    for m in members(spark, "/root/testdata/sf0.001").collect():
+        threads.setdefault(m.thread_id, []).append((m.at, m.no, m.publisher))
+    want = {}
+    for thread, rows in threads.items():
+        seen, base, last = set(), 0, None
+        for at, _, publisher in sorted(rows):
+            seen.add(publisher)
+            if len(seen) > base and (base == 0 or (len(seen) - base) / base >= 0.25):
+                base, last = len(seen), at
+        want[thread] = (base, last)
+    assert found == want
+    assert reads._levels(50) == [1, 2, 3, 4, 5, 7, 9, 12, 15, 19, 24, 30, 38, 48, 60]
