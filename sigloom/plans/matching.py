@@ -188,30 +188,32 @@ def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.crossJoin(mean).select("id", "label", V.unit(V.centred(F.col("v"), F.col("mean"))).alias("x"))
 
 
-def _trained(rows: DataFrame) -> DataFrame:
-    """A probe for each of ten targets: the vectors of its label against those of the others."""
-    targets = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")))
-    return train_targets(rows.select(targets.alias("target"), "id", "label", "x").select("target", "id", (F.col("label") == F.col("target")).cast("int").alias("y"), "x"))
+def _targets_of(rows: DataFrame, *kept: str) -> DataFrame:
+    """rows with each of ten targets."""
+    return rows.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("target"), "id", *kept)
 
 
 @query()
 def probe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probe for each of ten targets: its vectors against those of the others, mean-centred."""
-    return _trained(_probed(spark, sf_dir)).select("target", "n", F.round("auc", 6).alias("auc"), "enabled")
+    rows = _targets_of(_probed(spark, sf_dir), "label", "x").select("target", "id", (F.col("label") == F.col("target")).cast("int").alias("y"), "x")
+    return train_targets(rows).select("target", "n", F.round("auc", 6).alias("auc"), "enabled")
 
 
 @query()
 def probe_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes fitted on the even vectors, whose labels are known, and used on the odd ones: what they change among the
-    relations that a matcher made, which takes label + 1 for every third.  The models are written between fit and use."""
+    """Probes fitted on the even vectors and used on the odd ones: what they change among the relations that a matcher
+    made.  A target's are the vectors whose coordinate of its number is above the mean; the matcher takes every third.
+    The models are written between fit and use."""
     rows = _probed(spark, sf_dir)
     at = f"{new_folder(spark, 'probes')}/models"
-    _trained(rows.where("id % 2 = 0")).write.parquet(at)
+    labelled = _targets_of(rows.where("id % 2 = 0"), "x")
+    train_targets(labelled.select("target", "id", (F.get("x", F.col("target").cast("int")) > 0).cast("int").alias("y"), "x")).write.parquet(at)
     models = spark.read.parquet(at)
     used = rows.where("id % 2 = 1")
     scores = apply_probe(used.select("id", "x"), models).select(F.col("id").alias("thread_id"), "target", "p")
-    matched = (F.col("label") + F.when(F.col("id") % 3 == 0, 1).otherwise(0)).cast("bigint")
-    relations = used.where("id % 5 <> 0").select(F.col("id").alias("thread_id"), matched.alias("target"), F.lit("match").alias("source"), F.when(F.col("id") % 7 == 0, True).alias("verdict"))
+    related = _targets_of(used).where((F.col("id") + F.col("target")) % 3 == 0)
+    relations = related.select(F.col("id").alias("thread_id"), "target", F.lit("match").alias("source"), F.when(F.col("id") % 7 == 0, True).alias("verdict"))
     return changes(scores, models.where("enabled").select("target", "add_t", "veto_t"), relations).withColumn("score", F.round("score", 6))
 
 
