@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigloom.llm import decontaminate, embeddings, licences, lm, minhash, packing, quality, secrets, tokenout, toxicity
+from sigloom.llm import decontaminate, embeddings, licences, lm, minhash, packing, periodic, pieces, quality, secrets, tokenout, toxicity, whitening
 
 QUERIES = {
     "op1_token_output": tokenout.op1_token_output,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 SQL = {"op9_benchmark_decontamination": decontaminate.OP9_SQL}
