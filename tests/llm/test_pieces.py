@@ -57,7 +57,8 @@ def test_long_text_without_blanks(table):
     assert ids_of(table, text) == table.library.encode(text)
 
 
-def test_what_is_remembered_is_bounded(table, monkeypatch):
+def test_what_is_remembered_is_bounded(monkeypatch):
+    table = pieces.PieceTable(pieces.default_path())
     monkeypatch.setattr(pieces, "STRETCHES", 20)
     monkeypatch.setattr(pieces, "PAIRS", 20)
     for k in range(300):
