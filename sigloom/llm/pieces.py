@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -29,14 +29,35 @@ from sigloom.llm.textbatch import chunks
 
 #: What stands for a blank in pieces.
 MARK = "▁"
-#: Stretches up to this many letters are remembered, so many of them; and so many answers about pairs.
-SHORT, STRETCHES, PAIRS = 48, 800_000, 1_000_000
+#: Stretches up to this many letters are remembered: so many words, other stretches, and answers about pairs.
+SHORT, WORDS, STRETCHES, PAIRS = 48, 900_000, 200_000, 500_000
 
 
 def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Remembered(dict):
+    """Packed ids by stretch, made where they are missing.  When it is full it starts anew, and takes what is asked for
+    again from what it held before."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.before.get(text)
+        if ids is None:
+            ids = self.make(text)
+            if len(text) > SHORT:
+                return ids
+        if len(self) >= self.most // 2:
+            self.before = dict(self)
+            self.clear()
+        self[text] = ids
+        return ids
+
+
 class PieceTable:
     """The pieces of a merge model and the prefix tables of texts.
 
@@ -59,9 +80,10 @@ class PieceTable:
             self.automaton.add_word(name, i)
         self.automaton.make_automaton()
         self.inside = {name[k : k + 2] for name in self.ids for k in range(len(name) - 1)}
-        alone = not any(two[1] == MARK != two[0] for two in self.inside)
-        self.stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$" if alone else "(?s:.+)").findall
-        self.known: dict[str, bytes] = {}
+        self.alone = not any(two[1] == MARK != two[0] for two in self.inside)
+        self.stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$" if self.alone else "(?s:.+)").findall
+        self.known = Remembered(self.packed, STRETCHES)
+        self.words = Remembered(lambda word: self.packed(MARK + word), WORDS)
         self.pairs: dict[int, bool] = {}
         self.merges: dict[int, list[tuple[float, str | None, str | None]] | None] = {}
 
@@ -162,32 +184,24 @@ class PieceTable:
                 out.append(self.unknown)  # neighbouring unknown letters are one unknown piece
         return out
 
-    def _missing(self, text: str) -> bytes:
-        """Packed ids of a stretch that isn't remembered.  Where two letters never stand together inside a piece, what is
-        left and right of them is encoded on its own."""
+    def packed(self, text: str) -> bytes:
+        """Ids of a stretch, four bytes each.  Where two letters never stand together inside a piece, what is left and
+        right of them is encoded on its own."""
         inside = self.inside
-        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside] if self.bytes else []
-        if not cuts:  # without bytes, unknown letters side by side are one id
-            return self._remember(text, array("i", self.of_stretch(text)).tobytes())
-        parts, at, known = [], 0, self.known
-        for to in [*cuts, len(text)]:
-            part = text[at:to]
-            parts.append(known.get(part) or self._remember(part, array("i", self.of_stretch(part)).tobytes()))
-            at = to
-        return self._remember(text, b"".join(parts))
-
-    def _remember(self, text: str, ids: bytes) -> bytes:
-        if len(text) <= SHORT:
-            if len(self.known) >= STRETCHES:
-                self.known.clear()
-            self.known[text] = ids
-        return ids
+        # Words of letters alone are seldom cut; without bytes, unknown letters side by side are one id.
+        if self.bytes and not text[1:].isalpha():
+            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
+            if cuts:
+                return b"".join([self.known[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+        return array("i", self.of_stretch(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as the library gives them, four bytes each; the library makes the text ready, with its blanks
         marked."""
-        known, missing = self.known.get, self._missing
-        return b"".join([known(s) or missing(s) for s in self.stretches(self.library.normalize(text))])
+        ready = self.library.normalize(text)
+        if self.alone and ready[:1] == MARK and ready[-1] != MARK and MARK + MARK not in ready:
+            return b"".join(map(self.words.__getitem__, ready[1:].split(MARK)))  # one mark and a word each
+        return b"".join(map(self.known.__getitem__, self.stretches(ready)))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -203,8 +217,9 @@ def piece_table(path: str) -> PieceTable:
     return _tables[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, end: bool = True) -> DataFrame:
-    """doc_id and ids of every row of ``docs`` (doc_id, text), by the model at ``path`` on every machine.
+def encode(docs: DataFrame, path: str | None = None, end: bool = True, decoded: bool = False) -> DataFrame:
+    """doc_id and ids of every row of ``docs`` (doc_id, text), by the model at ``path`` on every machine; with
+    ``decoded`` also ``text``, what decoding these ids gives.
 
     Null and empty texts have the end id alone (none without ``end``).  Repeated rows are encoded each; rows with a null
     doc_id like others; further columns are left out, whatever their names; an empty table gives no rows.  A text is one
@@ -219,9 +234,13 @@ def encode(docs: DataFrame, path: str | None = None, end: bool = True) -> DataFr
             rows = [table.encode(t or "") + tail for t in batch.column(1).to_pylist()]
             offsets = np.cumsum([0, *[len(r) // 4 for r in rows]]).astype(np.int32)
             flat = np.frombuffer(b"".join(rows), "<i4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
+            columns, names = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"]
+            if decoded:
+                columns.append(pa.array([table.decode(np.frombuffer(r, "<i4").tolist()) for r in rows], pa.string()))
+                names.append("text")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>" + ", text string" * decoded)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -240,7 +259,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The number of ids, and digests of the ids and of the decoded text."""
-    found = decode(encode(docs, path), path)
+    found = encode(docs, path, decoded=True)
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 

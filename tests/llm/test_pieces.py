@@ -60,11 +60,12 @@ def test_long_text_without_blanks(table):
 def test_what_is_remembered_is_bounded(monkeypatch):
     table = pieces.PieceTable(pieces.default_path())
     monkeypatch.setattr(pieces, "STRETCHES", 20)
+    monkeypatch.setattr(pieces, "WORDS", 10)
     monkeypatch.setattr(pieces, "PAIRS", 20)
     for k in range(300):
         text = f"word{k * 7919} and {chr(0x4E00 + k)}"
         assert ids_of(table, text) == table.library.encode(text)
-        assert len(table.known) <= 20 and len(table.pairs) <= 20
+        assert len(table.known) + len(table.known.before) <= 20 and len(table.words) + len(table.words.before) <= 10 and len(table.pairs) <= 20
 
 
 def plain_report(library, doc_id, text):
@@ -85,5 +86,7 @@ def test_odd_rows(spark, table):
     docs = spark.createDataFrame([(i, t, [1], "p") for i, t in rows], "doc_id bigint, text string, ids array<int>, path string")
     assert sorted(map(str, map(tuple, pieces.report(docs).collect()))) == sorted(str(plain_report(table.library, *r)) for r in rows)
     assert pieces.report(docs.limit(0)).collect() == []
+    again = pieces.decode(pieces.encode(docs.where("doc_id = 2"))).select("text").collect()
+    assert sorted(r.text for r in again) == sorted(table.library.decode(table.library.encode(t or "")) for t in texts)
     assert {tuple(r.ids) for r in pieces.encode(docs.where("text = ''"), end=False).collect()} == {()}
     assert pieces.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")).select("text").distinct().collect() == [("",)]
