@@ -3,10 +3,10 @@
 Tasks count what they read and send sorted arrays to the shard of each word or n-gram; a shard's task adds them up and
 writes one file of sorted keys and counts to the shared folder (under a new name, then renamed, so that repeated tasks
 do no harm).  Scoring workers memory-map those files and look up whole batches of n-grams at once.  Nothing that grows
-with the corpus passes the driver: it sees the sizes of shards and twelve counts of counts.
+with the corpus passes the driver: it sees the sizes of the shards of words, 65 536 at most, and twelve counts of counts.
 
-A trigram's key is the number of its first two words' bigram in the order of all shards, times the words, plus its last
-word: exact, and in the shard of that bigram.  As usual, the bigrams below trigrams count the different words before
+A trigram's key is the place of its first two words' bigram in that bigram's shard, times the words, plus its last word:
+exact, as what 64 bits don't hold is refused, and in the same shard.  As usual, the bigrams below trigrams count the different words before
 them, and those at a text's start, which have none, their occurrences; a text's first word has the bigram model alone.
 
 The shared folder must be mounted where executors run, as files can't be mapped otherwise.
@@ -133,7 +133,6 @@ class Model:
     continuations: int = 0
     lower_rest: float = 1.0
     order: int = 2
-    pair_sizes: list[int] = field(default_factory=list)
     middle_discounts: tuple[float, ...] = (0.0, 0.0, 0.0)
     seed: int = 0
 
@@ -221,11 +220,10 @@ class Model:
     def trigrams(self, shard: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """How often each word follows the bigram at the place."""
         out = np.zeros(len(ids), np.int64)
-        bases = self.pair_bases()
         for s, some in _by_shard(np.where((place >= 0) & (ids >= 0), shard, -1)):
             known = self._mapped(f"tri{s}", 0, np.uint64)
             if len(known):
-                keys = (place[some] + bases[s]).astype(np.uint64) * np.uint64(self.words + 1) + ids[some].astype(np.uint64)
+                keys = self.trigram_keys(place[some], ids[some])
                 order = np.argsort(keys)
                 keys, some = keys[order], some[order]
                 spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -241,9 +239,9 @@ class Model:
             counts[many] = self._mapped(f"tri{shard}", 3, np.int64)[large]
         return counts
 
-    def pair_bases(self) -> np.ndarray:
-        """The number of each shard's first bigram in the order of all shards."""
-        return np.concatenate([[0], np.cumsum(np.array(self.pair_sizes, np.int64))])
+    def trigram_keys(self, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The trigrams of a shard: the place of the first bigram there, and the last word.  ``fits`` sees to 64 bits."""
+        return place.astype(np.uint64) * np.uint64(self.words + 1) + ids.astype(np.uint64)
 
     def statistics(self, ids: np.ndarray) -> np.ndarray:
         """For each word: total as context, its followers met once, twice, more often; and its continuation count."""
@@ -308,6 +306,13 @@ def modified_discounts(n: list[int]) -> tuple[float, ...]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
+def fits(count: int, words: int) -> None:
+    """Raises if pairs of one of ``count`` things and one of the words, or of what stands for the start or the end of a
+    text, can't be told apart in 64 bits."""
+    if count * (words + 1) >= 1 << 64:
+        raise OverflowError(f"{count} contexts with {words} words each need more than 64 bits: raise the number of shards")
+
+
 def _parts(name_of: np.ndarray, *columns: list) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((name_of, *columns), kinds, strict=True)], names=["shard", "n", "a", "b"])
@@ -322,27 +327,39 @@ def _split(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Record
     return _parts(found.astype(np.int64), [len(g) for g in groups], [_pack(keys[g]) for g in groups], [_pack_counts(counts[g]) for g in groups])
 
 
-def _counted(docs: DataFrame, seed: int, keys_of: Callable, shard_of: Callable) -> DataFrame:
-    """Adds up keys inside each task and sends the sums to their shards."""
+def _counted(docs: DataFrame, seed: int, keys_of: Callable, sums_of: Callable) -> DataFrame:
+    """Adds up keys inside each task and sends the sums to their shards.  ``keys_of`` gives some columns for the tokens
+    of a few texts, and ``sums_of`` makes rows of columns that are full enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def sums() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _split(keys, counts, shard_of(keys))
-
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in chunks(batches):
             held.append(keys_of(*tokens_of(batch.column(0), seed)))
-            if sum(map(len, held)) >= FLUSH:
-                yield sums()
+            if sum(len(columns[0]) for columns in held) >= FLUSH:
+                yield sums_of(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
         if held:
-            yield sums()
+            yield sums_of(*map(np.concatenate, zip(*held, strict=True)))
 
     return docs.select("text").mapInArrow(run, PARTS)
 
 
+def _sums_of(shard_of: Callable) -> Callable:
+    """Sums of keys that name their shard."""
+
+    def sums(keys: np.ndarray) -> pa.RecordBatch:
+        keys, counts = np.unique(keys, return_counts=True)
+        return _split(keys, counts, shard_of(keys))
+
+    return sums
+
+
+def _sums_in_shards(keys: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+    """Sums of keys that mean something inside their shard only."""
+    found = [(s, *np.unique(keys[some], return_counts=True)) for s, some in _by_shard(shard)]
+    return _parts(np.array([s for s, _, _ in found], np.int64), [len(k) for _, k, _ in found], [_pack(k) for _, k, _ in found], [_pack_counts(c) for _, _, c in found])
+
+
 def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _sum_by_key(np.concatenate([_unpack(x) for x in rows["a"]]), np.concatenate([_unpack_counts(x) for x in rows["b"]]))
 
@@ -357,7 +374,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     # Words go to shards by their upper bits, so the shards in a row are sorted.
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = model.word_bits = min(MOST_BITS, max(WORD_BITS, (n_bytes // SHARD_BYTES).bit_length()))
-    word_parts = _counted(docs, model.seed, lambda hashes, starts: hashes, lambda keys: (keys >> np.uint64(64 - bits)).astype(np.int64))
+    word_parts = _counted(docs, model.seed, lambda hashes, starts: (hashes,), _sums_of(lambda keys: (keys >> np.uint64(64 - bits)).astype(np.int64)))
 
     def write_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(rows)
@@ -372,10 +389,12 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     model.shards = max(SHARDS, -(-model.tokens // SHARD_TOKENS))
     _release(docs.sparkSession)
 
-    def pair_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return model.bigrams(model.ids(hashes)[0], starts)[1]
+    fits(model.words + 1, model.words)
+
+    def pair_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray]:
+        return (model.bigrams(model.ids(hashes)[0], starts)[1],)
 
-    pairs = _counted(docs, model.seed, pair_keys, lambda keys: (mix(keys) % np.uint64(model.shards)).astype(np.int64))
+    pairs = _counted(docs, model.seed, pair_keys, _sums_of(lambda keys: (mix(keys) % np.uint64(model.shards)).astype(np.int64)))
     size = np.uint64(model.words + 1)
 
     def summary(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
@@ -393,17 +412,14 @@ def train(docs: DataFrame, order: int = 2) -> Model:
 
     def write_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(rows)
+        fits(len(keys), model.words)
         more = np.flatnonzero(counts > 1)
         _write(folder, f"pair{key[0]}", keys)
         _write(folder, f"more{key[0]}", more.astype(np.uint32), _narrow(counts[more].astype(np.uint64)))
-        if order == 3:
-            return pd.DataFrame({"shard": [key[0]], "pairs": [len(keys)]})
-        return summary(keys, counts)
+        return pd.DataFrame({"n": [1]}) if order == 3 else summary(keys, counts)
 
     if order == 3:
-        model.pair_sizes = [0] * model.shards
-        for r in pairs.groupBy("shard").applyInPandas(write_pairs, "shard bigint, pairs bigint").collect():
-            model.pair_sizes[r.shard] = r.pairs
+        pairs.groupBy("shard").applyInPandas(write_pairs, "n int").agg(F.sum("n")).collect()
         _release(docs.sparkSession)
         partial = keep(_trigrams(docs, model, summary, summaries), "statistics")
     else:
@@ -451,18 +467,15 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
     """Writes the trigrams, sets their discounts and returns the summaries of the bigrams as these count below them;
     their task writes what a bigram counts there, and the share of the words after it that is left to the bigrams."""
     spark, folder = docs.sparkSession, model.folder
-    size, bases = np.uint64(model.words + 1), model.pair_bases()
+    size = np.uint64(model.words + 1)
 
-    def keys_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def keys_of(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids = model.ids(hashes)[0]
         shard, place = model.places(model.bigrams(ids, starts)[1])
         at = np.ones(len(ids), bool)
         at[starts[:-1]] = False
         at = np.flatnonzero(at)
-        return (bases[shard[at - 1]] + place[at - 1]).astype(np.uint64) * size + ids[at].astype(np.uint64)
-
-    def shard_of(keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(bases, (keys // size).astype(np.int64), side="right") - 1
+        return model.trigram_keys(place[at - 1], ids[at]), shard[at - 1]
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(rows)
@@ -470,7 +483,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
         _write(folder, f"tri{key[0]}", keys, np.minimum(counts, BYTE).astype(np.uint8), large.astype(np.int64), counts[large].astype(np.int64))
         return pd.DataFrame({"n": [[int((counts == c).sum()) for c in (1, 2, 3, 4)]]})
 
-    counted = _counted(docs, model.seed, keys_of, shard_of).groupBy("shard").applyInPandas(write, "n array<bigint>")
+    counted = _counted(docs, model.seed, keys_of, _sums_in_shards).groupBy("shard").applyInPandas(write, "n array<bigint>")
     found = counted.select([F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(4)]).first()
     model.discounts = modified_discounts([int(x or 0) for x in found])
 
@@ -481,7 +494,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
                 yield _parts(np.array([s]), [0], [b""], [b""])
                 known = model._mapped(f"tri{s}", 0, np.uint64)
                 if len(known):
-                    middle = np.asarray(model._mapped(f"pair{s}", 0, np.uint64))[(known // size).astype(np.int64) - bases[s]] % size
+                    middle = np.asarray(model._mapped(f"pair{s}", 0, np.uint64))[(known // size).astype(np.int64)] % size
                     keys, counts = np.unique(middle * size + known % size, return_counts=True)
                     more = model.of_pairs(*model.places(keys))[0] > 1  # the others have one word before them
                     keys, counts = keys[more], counts[more]
@@ -500,7 +513,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
         left = np.zeros(len(keys))
         if len(known):
             discount = _discount(model.discounts, model.trigram_counts(s, np.arange(len(known))))
-            left = np.bincount((known // size).astype(np.int64) - bases[s], weights=discount, minlength=len(keys))
+            left = np.bincount((known // size).astype(np.int64), weights=discount, minlength=len(keys))
         _write_more(folder, f"more{s}", {2: _narrow(counts[more]), 3: left[more] / counted[more]})
         return summary(keys, counts)
 

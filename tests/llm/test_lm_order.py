@@ -91,3 +91,20 @@ def test_counts_beyond_32_bits_keep_their_width(tmp_path):
         lm._write(str(tmp_path), f"c{len(counts)}-{max(counts, default=0)}", lm._narrow(np.array(counts, np.uint64)))
         found = lm.Model(str(tmp_path))._counts(f"c{len(counts)}-{max(counts, default=0)}", 0, len(counts))
         assert found.tolist() == counts
+
+
+def test_keys_that_leave_64_bits_are_refused():
+    words = 3 * 10**8
+    lm.fits(words + 1, words)  # bigrams
+    lm.fits(4 * 10**6, words)  # trigrams of a shard
+    with pytest.raises(OverflowError):
+        lm.fits(10**11, words)
+    model = lm.Model("", word_sizes=[words])
+    keys = model.trigram_keys(np.array([0, 1, 4 * 10**6, 5 * 10**10]), np.array([words - 1, 0, 7, 9]))
+    assert [int(k) for k in keys] == [words - 1, words + 1, 4 * 10**6 * (words + 1) + 7, 5 * 10**10 * (words + 1) + 9]
+
+
+def test_equal_keys_of_different_shards_are_counted_apart():
+    keys, shard = np.array([5, 5, 5, 7, 5], np.uint64), np.array([0, 3, 0, 3, 3])
+    rows = lm._sums_in_shards(keys, shard).to_pylist()
+    assert [(r["shard"], lm._unpack(r["a"]).tolist(), lm._unpack_counts(r["b"]).tolist()) for r in rows] == [(0, [5], [2]), (3, [5, 7], [2, 1])]
