@@ -58,10 +58,9 @@ def test_long_text_without_blanks(table):
 
 
 def test_what_is_remembered_is_bounded(monkeypatch):
+    for name, most in (("STRETCHES", 20), ("WORDS", 10), ("PAIRS", 20)):
+        monkeypatch.setattr(pieces, name, most)
     table = pieces.PieceTable(pieces.default_path())
-    monkeypatch.setattr(pieces, "STRETCHES", 20)
-    monkeypatch.setattr(pieces, "WORDS", 10)
-    monkeypatch.setattr(pieces, "PAIRS", 20)
     for k in range(300):
         text = f"word{k * 7919} and {chr(0x4E00 + k)}"
         assert ids_of(table, text) == table.library.encode(text)
