@@ -1,8 +1,8 @@
 """Secret scans with DataFrame functions only.
 
 Base kinds are regular expressions.  Beside them, long candidate strings are screened by the Shannon entropy of a
-sliding window: a fold moves the window along the string and keeps the count of each character of the class's alphabet,
-so each step changes two counts and the entropy's sum with them.  An allow-list drops what is known to be harmless.
+sliding window: a fold moves the window along the string and keeps the count of each character of the class's alphabet
+in a few numbers, so each step changes two counts and the entropy's sum with them.  All folds are linear in the text.  An allow-list drops what is known to be harmless.
 
 Null and empty texts have no spans.  Repeated rows are scanned each; an empty table gives no rows.
 """
@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm.folds import let, running_max, running_sum
+
 #: The base kinds, in the order that settles ties.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -41,24 +43,40 @@ ALLOWED = (
     r"^/?[A-Za-z_-]+[0-9]{0,4}(/[A-Za-z_-]*[0-9]{0,4})+$",
 )
 
-_SPAN = "struct<start:int,end:int,value:string>"
+#: A span by code points and, for taking it out of the text, by bytes.
+_SPAN = "struct<start:int,end:int,at:int,to:int,value:string>"
+#: Counts of letters that one number holds, of COUNT_BITS each.
+COUNTS, COUNT_BITS = 12, 5
 
 
 def _spans(text: Column, pattern: str, group: int = 0) -> Column:
     """start, end and value of all leftmost matches: what lies between them tells where they are."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pieces = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("whole"), values.alias("value"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: _two(F.length(g), F.octet_length(g)))
+    own = F.transform(found, lambda v: _two(F.length(v), F.octet_length(v)))
+    ends = running_sum(F.zip_with(F.slice(gaps, 1, F.size(found)), own, lambda gap, n: gap + n))
+    starts = F.zip_with(ends, own, lambda end, n: end - n)
+    pieces = F.arrays_zip(starts.alias("from"), found.alias("whole"), values.alias("value"))
+
+    def span(piece: Column) -> Column:
+        start, at = _first(piece["from"]), _second(piece["from"])
+        return F.struct(start.alias("start"), (start + F.length(piece["whole"])).alias("end"), at.alias("at"), (at + F.octet_length(piece["whole"])).alias("to"), piece["value"].alias("value"))
+
+    return F.transform(pieces, span)
+
+
+def _two(one: Column, other: Column) -> Column:
+    """Two places in one number; sums of such numbers add up both."""
+    return F.shiftleft(one.cast("bigint"), 32) + other
+
+
+def _first(both: Column) -> Column:
+    return F.shiftright(both, 32).cast("int")
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + piece["0"]
-        end = start + F.length(piece["1"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), piece["2"].alias("value")))).alias("out"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
-    named = F.transform(pieces, lambda p: F.struct(p["gap"].alias("0"), p["whole"].alias("1"), p["value"].alias("2")))
-    return F.aggregate(named, empty, step, lambda state: state["out"])
+def _second(both: Column) -> Column:
+    return both.bitwiseAND(F.lit(2**32 - 1)).cast("int")
 
 
 def _none() -> Column:
@@ -66,25 +84,36 @@ def _none() -> Column:
 
 
 def window_entropy(value: Column, alphabet: str) -> Column:
-    """The largest entropy in bits of any window of the string, by counts that change with each step of the window."""
+    """The largest entropy in bits of any window of the string, by counts that change with each step of the window.
+
+    The counts of the alphabet's letters stand in a few numbers, COUNT_BITS each, and a step changes two of them."""
     terms = F.array(*[F.lit(float(c * math.log2(c)) if c else 0.0) for c in range(WINDOW + 1)])
-    codes = F.transform(F.array_remove(F.split(value, ""), ""), lambda c: F.position(c, F.lit(alphabet)))
-    moves = F.arrays_zip(codes.alias("enters"), F.concat(F.array_repeat(F.lit(0), WINDOW), codes).alias("leaves"), F.sequence(F.lit(1), F.size(codes)).alias("n"))
+    codes = F.transform(F.array_remove(F.split(value, ""), ""), lambda c: F.position(c, F.lit(alphabet)) - 1)
+    moves = F.arrays_zip(codes.alias("enters"), F.concat(F.array_repeat(F.lit(-1), WINDOW), codes).alias("leaves"), F.sequence(F.lit(1), F.size(codes)).alias("n"))
     moves = F.filter(moves, lambda m: m["enters"].isNotNull())
+    numbers = range(-(-len(alphabet) // COUNTS))
 
     def step(state: Column, move: Column) -> Column:
-        into, out = move["enters"], move["leaves"]
-        more = F.element_at(state["counts"], into)
-        less = F.when(out > 0, F.element_at(state["counts"], F.greatest(out, F.lit(1)))).otherwise(0)
-        change = F.when(into == out, 0.0).otherwise(
-            F.element_at(terms, more + 2) - F.element_at(terms, more + 1) + F.when(out > 0, F.element_at(terms, F.greatest(less, F.lit(1))) - F.element_at(terms, less + 1)).otherwise(0.0)
+        into, out = move["enters"], F.greatest(move["leaves"], F.lit(0))
+        leaves = move["leaves"] >= 0
+        number = lambda code: F.floor(code / COUNTS).cast("int")
+        shift = lambda code: (code % COUNTS) * COUNT_BITS
+        held = F.array(*[state[f"c{k}"] for k in numbers])
+        count = lambda code: F.call_function("shiftright", F.get(held, number(code)), shift(code)).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+        more, less = count(into), F.when(leaves, count(out)).otherwise(0)
+        change = F.when(into == move["leaves"], 0.0).otherwise(
+            F.get(terms, more + 1) - F.get(terms, more) + F.when(leaves, F.get(terms, F.greatest(less - 1, F.lit(0))) - F.get(terms, less)).otherwise(0.0)
         )
-        counts = F.transform(state["counts"], lambda c, k: c + (k + 1 == into).cast("int") - (k + 1 == out).cast("int"))
+        one = lambda code: F.call_function("shiftleft", F.lit(1).cast("bigint"), shift(code))
+        counts = [
+            (state[f"c{k}"] + F.when(number(into) == k, one(into)).otherwise(0) - F.when(leaves & (number(out) == k), one(out)).otherwise(0)).alias(f"c{k}")
+            for k in numbers
+        ]
         total = state["total"] + change
         best = F.when(move["n"] >= WINDOW, F.greatest(state["best"], F.lit(math.log2(WINDOW)) - total / WINDOW)).otherwise(state["best"])
-        return F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"))
+        return F.struct(*counts, total.alias("total"), best.alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1.0).alias("best"))
+    start = F.struct(*[F.lit(0).cast("bigint").alias(f"c{k}") for k in numbers], F.lit(0.0).alias("total"), F.lit(-1.0).alias("best"))
     return F.aggregate(moves, start, step, lambda state: state["best"])
 
 
@@ -104,14 +133,12 @@ def _suspect(span: Column) -> Column:
 
 
 def secret_spans(text: Column) -> Column:
-    """array of (start, kind, end): places in code points, end exclusive, by start and then kind.
-
-    kind is a place in KINDS.
-    """
+    """array of (start, kind, end, at, to): places in code points and then in bytes, ends exclusive, by start and then
+    kind, which is a place in KINDS."""
     may = text.rlike(LONG)
 
     def kind(spans: Column, k: int) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["at"].alias("at"), s["to"].alias("to")))
 
     assign = F.when(text.rlike(KEYWORDS), F.filter(_spans(text, ASSIGN, 1), lambda s: F.length(s["value"]) >= MIN_VALUE)).otherwise(_none())
     access = F.when(may & text.contains("AKIA"), F.filter(_spans(text, ACCESS), lambda s: F.length(s["value"]) >= MIN_ACCESS)).otherwise(_none())
@@ -129,24 +156,31 @@ def scan(docs: DataFrame) -> DataFrame:
     """``row``, a struct of all columns of ``docs``, and ``found``, the spans of its text; entropy spans that lie within
     a base span are left out."""
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("found", secret_spans(F.coalesce("row.text", F.lit(""))))
-    base = F.filter("found", lambda s: s["kind"] < 3)
-    inside = lambda s: F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-    return found.withColumn("found", F.filter("found", lambda s: (s["kind"] < 3) | ~inside(s)))
+
+
+    def outside(reach: Column) -> Column:
+        # All base spans that begin no later stand before an entropy span.
+        return F.filter("found", lambda s, k: (s["kind"] < 3) | (F.get(reach, k) < s["end"]))
+
+    reach = running_max(F.transform("found", lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(-1).cast("bigint")))
+    return found.withColumn("found", F.when(F.exists("found", lambda s: s["kind"] == 3), let(reach, outside)).otherwise(F.col("found")))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``; spans that overlap are replaced as one."""
     text = F.col("row.text")
 
-    def step(state: Column, span: Column) -> Column:
-        new = span["start"] >= state["at"]
-        before = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        out = F.when(new, F.concat(state["out"], F.array(before, F.lit(mark)))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, rest)).otherwise(text)
+    def cut(both: Column) -> Column:
+        data, reach = both["data"], both["reach"]
+        before = lambda k: F.when(k > 0, F.get(reach, k - 1)).otherwise(0).cast("int")
+        part = lambda at, to: F.substring(data, at + 1, to - at).cast("string")
+        pieces = F.transform("found", lambda s, k: F.when(s["at"] >= before(k), F.concat(part(before(k), s["at"]), F.lit(mark))).otherwise(""))
+        last = F.element_at(reach, -1).cast("int")
+        return F.concat(F.array_join(pieces, ""), part(last, F.length(data)))
+
+    reach = running_max(F.transform("found", lambda s: s["to"].cast("bigint")))
+    both = F.struct(text.cast("binary").alias("data"), reach.alias("reach"))
+    clean = F.when(F.size("found") > 0, let(both, cut)).otherwise(text)
     return scan(docs).select(*[(clean if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
