@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm.folds import let, running_max
 from sigloom.llm.store import keep
 
 WINDOW = 10
@@ -24,6 +25,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmark terms that are sent to all tasks; more of them are joined by a shuffle.
 BROADCAST_TERMS = 500_000
+#: Windows of benchmark items, by their rarest terms, that are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST_MARKS = 500_000
 #: Documents with candidates, or hits of documents, that are sent to all tasks; more of them are joined by a shuffle.
 BROADCAST_DOCS = 200_000
 
@@ -61,7 +64,9 @@ def anchors(items: DataFrame, postings: DataFrame, window: int) -> DataFrame:
 
 def candidates(postings: DataFrame, marks: DataFrame) -> DataFrame:
     """k, item, at: places where an item may begin, from the intersection of the two moved lists."""
-    first = postings.select("k", "pos", F.col("tid").alias("t1")).join(marks, "t1")
+    # Few windows go to all postings; many are joined by a shuffle whose hot terms Spark splits.
+    sent = F.broadcast(marks) if marks.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS else marks
+    first = postings.select("k", "pos", F.col("tid").alias("t1")).join(sent, "t1")
     first = first.select("k", "item", (F.col("pos") - F.col("o1")).alias("at"), F.col("t2").alias("tid"), (F.col("pos") - F.col("o1") + F.col("o2")).alias("pos")).distinct()
     second = postings.join(marks.select(F.col("t2").alias("tid")).distinct(), "tid", "left_semi")
     return first.join(second, ["k", "pos", "tid"], "left_semi").select("k", "item", "at").distinct()
@@ -87,15 +92,17 @@ def _runs(words: Column, item: Column, at: Column, window: int) -> Column:
 
 
 def _merged(runs: Column) -> Column:
-    """The same places by stretches that don't meet."""
+    """The same places by stretches that don't meet: a stretch begins where a run begins beyond all runs before it."""
 
-    def step(out: Column, run: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        meets = F.coalesce(run["s"] <= last["e"], F.lit(False))
-        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], run["e"]).alias("e"))
-        return F.when(meets, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(out, F.array(run)))
+    def joined(both: Column) -> Column:
+        runs, reach = both["runs"], both["reach"]
+        begins = F.filter(F.transform(runs, lambda r, k: F.when((k == 0) | (r["s"] > F.get(reach, k - 1)), r["s"])), lambda s: s.isNotNull())
+        ends = F.filter(F.transform(reach, lambda e, k: F.when((k == F.size(runs) - 1) | (F.get(runs, k + 1)["s"] > e), e.cast("int"))), lambda e: e.isNotNull())
+        return F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
 
-    return F.aggregate(F.array_sort(runs), F.expr(f"cast(array() as {_RUNS})"), step)
+    in_order = lambda runs: F.struct(runs.alias("runs"), running_max(F.transform(runs, lambda r: r["e"].cast("bigint"))).alias("reach"))
+    found = let(let(F.array_sort(runs), in_order), joined)
+    return F.when(F.size(runs) > 0, found).otherwise(F.expr(f"cast(array() as {_RUNS})"))
 
 
 def _covered(runs: Column) -> Column:
@@ -112,6 +119,11 @@ def _few(rows: DataFrame) -> bool:
     return rows.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
 
 
+def keys_of_row() -> tuple[Column, Column]:
+    """Two independent fingerprints of a row: the index is by the first, and what is found goes back to rows by both."""
+    return F.xxhash64("row.doc_id", "row.text"), F.xxhash64(F.lit("again"), "row.text", "row.doc_id")
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """For every row of ``docs``: row, a struct of all its columns, words, item_ids (as strings, sorted) and runs (s, e)
     of hit words, which don't meet.
@@ -121,20 +133,23 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     items = benchmark.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = keep(items.withColumn("item", F.xxhash64("item_id", "words")).distinct(), "items")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("k", F.xxhash64("row.doc_id", "row.text"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one, two = keys_of_row()
+    keyed = keyed.withColumn("k", one).withColumn("k2", two)
     postings = build_index(keyed.select("k", "row.text"), terms_of(items))
     marks = keep(anchors(items, postings, window), "anchors")
     # One row for a document and an item, with the places where the item may begin.
     found = keep(candidates(postings, marks).groupBy("k", "item").agg(F.collect_list("at").alias("places")), "candidates")
     asked = found.select("k").distinct()
-    texts = keyed.select("k", "row.text").join(F.broadcast(asked) if _few(asked) else asked, "k", "left_semi").distinct()
+    # Rows that share the first fingerprint by chance share candidates; each text is then compared by itself.
+    texts = keyed.select("k", "k2", "row.text").join(F.broadcast(asked) if _few(asked) else asked, "k", "left_semi").distinct()
     # Words are found once for a text, below the join, and not again for each of its items.
-    both = texts.select("k", words_of(F.col("text")).alias("words")).join(found, "k").join(items.withColumnRenamed("words", "sought"), "item")
+    both = texts.select("k", "k2", words_of(F.col("text")).alias("words")).join(found, "k").join(items.withColumnRenamed("words", "sought"), "item")
     runs = F.flatten(F.transform("places", lambda at: _runs(F.col("words"), F.col("sought"), at, window)))
-    hits = both.select("k", F.col("item_id").cast("string").alias("item_id"), _merged(runs).alias("runs")).where(F.size("runs") > 0)
-    by_doc = hits.groupBy("k").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), _merged(F.flatten(F.collect_list("runs"))).alias("hit"))
+    hits = both.select("k", "k2", F.col("item_id").cast("string").alias("item_id"), _merged(runs).alias("runs")).where(F.size("runs") > 0)
+    by_doc = hits.groupBy("k", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), _merged(F.flatten(F.collect_list("runs"))).alias("hit"))
     by_doc = keep(by_doc, "hits")
-    own = keyed.join(F.broadcast(by_doc) if _few(by_doc) else by_doc, "k", "left")
+    own = keyed.join(F.broadcast(by_doc) if _few(by_doc) else by_doc, ["k", "k2"], "left")
     none = lambda kind: F.expr(f"cast(array() as {kind})")
     return own.select("row", words_of(F.col("row.text")).alias("words"), F.coalesce("ids", none("array<string>")).alias("item_ids"), F.coalesce("hit", none(_RUNS)).alias("runs"))
 
