@@ -230,7 +230,8 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     classifier = classifier or train(docs)
-    key = F.xxhash64("doc_id", "text")
+    # Two fingerprints of a row: one alone would be shared by a few of very many rows.
+    key = F.struct(F.xxhash64("doc_id", "text"), F.xxhash64(F.lit("again"), "text", "doc_id"))
     rows = docs.where(classifier.may_hold(F.col("text"))).select(key.alias("k"), "text")
     found = confirm(classifier.likely(windows(rows))).select("k", "no", "family", "confirmed")
     by_paragraph = found.groupBy("k", "no").agg(F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("named"))
