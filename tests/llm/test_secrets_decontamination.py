@@ -1,13 +1,16 @@
 """Secret scans and benchmark decontamination against brute force."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
+import time
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from sigloom.llm import decontaminate, secrets
+from sigloom.llm import decontaminate, folds, secrets
 
 PATTERNS = [
     ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
@@ -103,3 +106,67 @@ def test_index_answers_phrases_and_proximity(spark):
     pairs = spark.createDataFrame([("p", "one", "three")], "pair string, a string, b string").select("pair", F.xxhash64("a").alias("t1"), F.xxhash64("b").alias("t2"))
     assert sorted(map(tuple, decontaminate.proximity(index, pairs, 1).collect())) == [("p", 1, 1), ("p", 2, 1)]
     assert sorted(map(tuple, decontaminate.proximity(index, pairs, 2).collect())) == [("p", 1, 2), ("p", 2, 1)]
+
+
+def test_texts_of_five_million_letters(spark):
+    """Full of keys: what comes out is right, and soon."""
+    keys = "".join(f"{k * 2654435761 % 2**64:016x} " for k in range(300_000))
+    mixed = "".join(f"é token={k:014d} {KEY}{k} AKIA{k:015d} " for k in range(3_000))
+    rows = [(1, keys), (1, keys), (2, mixed), (3, "x" * 5_000_000), (None, mixed)]
+    docs = spark.createDataFrame([(i, t, "r", 0) for i, t in rows], "doc_id bigint, text string, row string, reach int")
+    began = time.time()
+    found = secrets.report(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "n_entropy").collect()
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert time.time() - began < 240
+    by_id = {r.doc_id: tuple(r)[1:] for r in found}
+    spans = ",".join(f"hex:{17 * k}:{17 * k + 16}" for k in range(300_000))
+    assert len(found) == 5 and by_id[1] == (0, 0, 300_000, hashlib.sha256(spans.encode()).hexdigest(), 0)
+    want = brute(mixed)
+    assert by_id[2] == by_id[None] == (*want[:4], want[5])
+    assert clean[1] == "[SECRET] " * 300_000 and clean[3] == "x" * 5_000_000 and "AKIA" not in clean[2] and clean[2].count("é") == 3_000
+
+
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 9000):
+        values = [rng.randint(-50, 50) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<bigint>")
+        found = df.select(folds.running_sum(F.col("v")).alias("s"), folds.running_max(F.col("v")).alias("m")).first()
+        assert found.s == list(itertools.accumulate(values)) and found.m == list(itertools.accumulate(values, max))
+
+
+def test_stretches_that_meet_are_joined(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 2, 30, 500):
+        runs = [(s, s + rng.randint(1, 9)) for s in (rng.randrange(3 * n) for _ in range(n))]
+        df = spark.createDataFrame([(runs,)], "r array<struct<s:int,e:int>>")
+        found = [tuple(x) for x in df.select(decontaminate._merged(F.col("r")).alias("x")).first().x]
+        want = []
+        for s, e in sorted(runs):
+            if want and s <= want[-1][1]:
+                want[-1] = (want[-1][0], max(want[-1][1], e))
+            else:
+                want.append((s, e))
+        assert found == want
+
+
+def test_rows_that_share_a_fingerprint_keep_their_own_hits(spark, monkeypatch):
+    items = [(1, "a b c d e f g h i j"), (2, "k l m n o p q r s t")]
+    docs = [(1, "x a b c d e f g h i j"), (2, "k l m n o p q r s t a b"), (3, "none of these"), (4, None)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "keys_of_row", lambda: (F.lit(0).cast("bigint"), F.xxhash64(F.lit("again"), "row.text", "row.doc_id")))
+    assert {tuple(r) for r in decontaminate.report(d, b).collect()} == brute_passages(docs, items, 10)
+
+
+def test_a_text_full_of_passages(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(40)]
+    text = " ".join(f"{items[k % 40][1]} gap{k}" for k in range(16_000))
+    d, b = spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    began = time.time()
+    (r,) = decontaminate.report(d, b).collect()
+    assert (r.n_words, r.n_hit, r.n_items) == (16_000 * 13, 16_000 * 12, 40) and time.time() - began < 60
+    monkey, decontaminate.BROADCAST_MARKS = decontaminate.BROADCAST_MARKS, 0
+    try:
+        assert decontaminate.report(d, b).collect() == [r]
+    finally:
+        decontaminate.BROADCAST_MARKS = monkey
