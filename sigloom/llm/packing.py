@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.store import drop, keep
@@ -23,17 +24,23 @@ from sigloom.llm.tokens import default_path, tokenizer, with_end
 
 #: Pieces of a group, on average; islands of each group; epochs with migration between them.
 GROUP, ISLANDS, EPOCHS = 16_384, 2, 2
-POPULATION, GENERATIONS = 4, 6
+POPULATION, GENERATIONS = 6, 12
 #: Bins filled less than this are packed anew across groups.
 LOOSE = 0.97
+#: Bins of a group, at most: sequence ids are made of the group, the bin and the pass.
+MOST_BINS = 1 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+#: ``deal`` is a random number that puts a piece into its groups, so that rows alike don't all meet in one.
+DEALT = PIECES + ", deal bigint"
 
 
 def cut_pieces(docs: DataFrame, capacity: int, tokenizer_path: str, end_id: int) -> DataFrame:
     """The pieces of every whole text with its end id; only documents longer than ``capacity`` are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        rng = np.random.default_rng(task.partitionId() if task else 0)
         for batch in chunks(batches):
             ids, offsets = with_end(*tokenizer(tokenizer_path).encode(batch.column(1)), end_id)
             data = memoryview(ids.astype("<u4").tobytes())
@@ -44,10 +51,11 @@ def cut_pieces(docs: DataFrame, capacity: int, tokenizer_path: str, end_id: int)
                     to = min(at + capacity, end)
                     rows.append((doc_id, piece, at - begin, to - at, zlib.crc32(data[4 * at : 4 * to])))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+            columns.append(rng.integers(1 << 62, size=len(rows)))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in DEALT.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(cut, DEALT)
 
 
 class Bins:
@@ -116,32 +124,36 @@ def crossover(one: np.ndarray, other: np.ndarray, lengths: np.ndarray, capacity:
     return best_fit(lengths, lost[np.argsort(-lengths[lost], kind="stable")], child, capacity)
 
 
-def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray]) -> np.ndarray:
-    """The best packing that an island finds; it ends early at the least possible number of bins."""
+def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, bool]:
+    """The best packing that an island finds, and whether crossover made it, as is told of the elites too; the fittest
+    of parents and children live on.  It ends early at the least possible number of bins."""
     rng = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // capacity)
     none = np.full(len(lengths), -1, np.int64)
-    people = [*elites]
+    people: list[tuple[tuple[int, float], bool, np.ndarray]] = [(fitness(lengths, x, capacity), bred, x) for x, bred in elites]
     while len(people) < POPULATION:
-        # Falling lengths, shaken a little but for the first island's first packing.
-        shake = rng.random(len(lengths)) * (0 if not people and seed % ISLANDS == 0 else 0.05 * capacity)
-        people.append(best_fit(lengths, np.argsort(-(lengths + shake), kind="stable"), none, capacity))
-        if fitness(lengths, people[-1], capacity)[0] == least:
-            return people[-1]
+        # Falling lengths, shaken the more the later, but for the first island's first packing.
+        shake = rng.random(len(lengths)) * (0 if not people and seed % ISLANDS == 0 else 0.05 * capacity * max(1, len(people)))
+        found = best_fit(lengths, np.argsort(-(lengths + shake), kind="stable"), none, capacity)
+        people.append((fitness(lengths, found, capacity), False, found))
+        if people[-1][0][0] == least:
+            return found, False
+    people.sort(key=lambda x: x[0])
     for _ in range(GENERATIONS):
-        people.sort(key=lambda x: fitness(lengths, x, capacity))
-        if fitness(lengths, people[0], capacity)[0] == least:
+        if people[0][0][0] == least:
             break
-        children = [crossover(people[int(rng.integers(2))], people[int(rng.integers(1, POPULATION))], lengths, capacity, rng) for _ in range(POPULATION // 2)]
-        people = people[: POPULATION - len(children)] + children
-    return min(people, key=lambda x: fitness(lengths, x, capacity))
+        pairs = zip(rng.integers(POPULATION // 2, size=POPULATION // 2).tolist(), rng.integers(POPULATION, size=POPULATION // 2).tolist(), strict=True)
+        children = [crossover(people[a][2], people[b][2], lengths, capacity, rng) for a, b in pairs]
+        people = sorted(people + [(fitness(lengths, x, capacity), True, x) for x in children], key=lambda x: x[0])[:POPULATION]
+    return people[0][2], people[0][1]
 
 
 _ORDER = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def _pack_groups(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces with ``grp``; adds ``bin``, ``offset`` and ``fill`` of the bin."""
+    """pieces with ``grp``; adds ``bin``, ``offset`` and ``fill`` of the bin, and ``bred``: whether crossover made the
+    group's packing."""
 
     def island(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return one_epoch(key, rows, None)
@@ -152,13 +164,13 @@ def _pack_groups(pieces: DataFrame, capacity: int) -> DataFrame:
     def one_epoch(key: tuple, rows: pd.DataFrame, migrant: pd.DataFrame | None) -> pd.DataFrame:
         lengths = rows.sort_values(_ORDER, kind="stable")["length"].to_numpy(np.int64)
         open_ = lengths < capacity
-        elites = [] if migrant is None else [np.frombuffer(x, np.int64) for x in migrant["packing"]]
-        packing = evolve(lengths[open_], capacity, int(key[0]) * ISLANDS + int(key[1]), elites) if open_.any() else np.zeros(0, np.int64)
+        elites = [] if migrant is None else [(np.frombuffer(x, np.int64), bool(bred)) for x, bred in zip(migrant["packing"], migrant["bred"], strict=True)]
+        packing, bred = evolve(lengths[open_], capacity, int(key[0]) * ISLANDS + int(key[1]), elites) if open_.any() else (np.zeros(0, np.int64), False)
         bins, squares = fitness(lengths[open_], packing, capacity) if open_.any() else (0, 0.0)
         solved = bins == -(-int(lengths[open_].sum()) // capacity)
-        return pd.DataFrame({"grp": [key[0]], "island": [key[1]], "bins": [bins], "squares": [squares], "solved": [solved], "packing": [packing.tobytes()]})
+        return pd.DataFrame({"grp": [key[0]], "island": [key[1]], "bins": [bins], "squares": [squares], "solved": [solved], "bred": [bred], "packing": [packing.tobytes()]})
 
-    schema = "grp bigint, island int, bins bigint, squares double, solved boolean, packing binary"
+    schema = "grp bigint, island int, bins bigint, squares double, solved boolean, bred boolean, packing binary"
     everywhere = pieces.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
     elites = keep(everywhere.groupBy("grp", "island").applyInPandas(island, schema), "elites")
     for _ in range(EPOCHS - 1):
@@ -172,7 +184,7 @@ def _pack_groups(pieces: DataFrame, capacity: int) -> DataFrame:
         following = keep(again.union(elites.join(open_, "grp", "left_anti")), "elites")
         drop(elites)
         elites = following
-    best = elites.groupBy("grp").agg(F.min_by("packing", F.struct("bins", "squares", "island")).alias("packing"))
+    best = elites.groupBy("grp").agg(F.min_by(F.struct("packing", "bred"), F.struct("bins", "squares", "island")).alias("best")).select("grp", "best.*")
 
     def place(key: tuple, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(_ORDER, kind="stable")
@@ -188,32 +200,40 @@ def _pack_groups(pieces: DataFrame, capacity: int) -> DataFrame:
         offset = np.empty(len(rows), np.int64)
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
         fill = np.bincount(bins, weights=lengths).astype(np.int64)[bins]
-        return rows.assign(bin=bins, offset=offset, fill=fill)[[*_ORDER, "grp", "bin", "offset", "fill"]]
+        if bins.max(initial=0) >= MOST_BINS:
+            raise ValueError(f"a group has more than {MOST_BINS} bins")
+        return rows.assign(bin=bins, offset=offset, fill=fill, bred=bool(found["bred"].iloc[0]))[[*_ORDER, "deal", "grp", "bin", "offset", "fill", "bred"]]
 
-    schema = PIECES + ", grp bigint, bin bigint, offset bigint, fill bigint"
+    schema = DEALT + ", grp bigint, bin bigint, offset bigint, fill bigint, bred boolean"
     return pieces.groupBy("grp").cogroup(best.groupBy("grp")).applyInPandas(place, schema)
 
 
 def _grouped(pieces: DataFrame, n: int, salt: int) -> DataFrame:
     groups = max(1, -(-n // GROUP))
-    return pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(groups)))
+    return pieces.withColumn("grp", F.pmod(F.xxhash64("deal", F.lit(salt)), F.lit(groups)))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = None, end_id: int = 0) -> DataFrame:
-    """A row for each piece of ``docs`` (doc_id, text) with its sequence_id and the offset there.
+    """A row for each piece of ``docs`` (doc_id, text) with its sequence_id and the offset there; ``bred`` tells whether
+    crossover made the packing of its group.
 
-    Null and empty texts are the end id alone.  Repeated rows are packed each.  An empty table gives no rows.
+    Null and empty texts are the end id alone.  Repeated rows are packed each, and rows with a null doc_id like others;
+    further columns are left out, whatever their names.  An empty table gives no rows.
     """
     pieces = keep(cut_pieces(docs, capacity, tokenizer_path or default_path(), end_id), "pieces")
     first = keep(_pack_groups(_grouped(pieces, pieces.count(), 1), capacity), "packed")
     drop(pieces)
     loose = F.col("fill") < int(LOOSE * capacity)
-    again = first.where(loose).drop("grp", "bin", "offset", "fill")
+    again = first.where(loose).drop("grp", "bin", "offset", "fill", "bred")
     second = _pack_groups(_grouped(again, again.count(), 2), capacity)
-    base = F.lit(1 << 40)
     columns = [*_ORDER[:-1], "ids_crc32"]
-    done = first.where(~loose).select(*columns, (F.col("grp") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset")
-    return done.union(second.select(*columns, (base + F.col("grp") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset"))
+    done = first.where(~loose).select(*columns, sequence_id(0).alias("sequence_id"), "offset", "bred")
+    return done.union(second.select(*columns, sequence_id(1).alias("sequence_id"), "offset", "bred"))
+
+
+def sequence_id(turn: int) -> Column:
+    """A number for each group, bin and pass: the lowest bit is the pass, then MOST_BINS bins, then the groups."""
+    return (F.col("grp") * MOST_BINS + F.col("bin")) * 2 + turn
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -143,6 +144,46 @@ def test_evolution_beats_or_meets_best_fit():
     lengths = rng.integers(20, 70, 300)
     none = np.full(300, -1)
     first = packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), none, 100)
-    best = packing.evolve(lengths, 100, 2, [])
+    best, bred = packing.evolve(lengths, 100, 2, [])
+    assert bred and not packing.evolve(np.full(10, 10), 100, 2, [])[1]
+    elite = packing.evolve(lengths, 100, 2, [(best, True)])
+    assert packing.fitness(lengths, elite[0], 100) <= packing.fitness(lengths, best, 100)
     assert np.bincount(best, weights=lengths).max() <= 100
     assert packing.fitness(lengths, best, 100) <= packing.fitness(lengths, first, 100)
+
+
+def check_packing(rows, docs, capacity):
+    want = Counter()
+    for doc_id, text in docs:
+        ids = np.array([*library_ids(text), 0], "<u4")
+        want.update((doc_id, k, at, len(ids[at : at + capacity]), zlib.crc32(ids[at : at + capacity].tobytes())) for k, at in enumerate(range(0, len(ids), capacity)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in bins.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= capacity
+    return len(bins)
+
+
+def test_many_groups_repeated_rows_and_migrants(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 40)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), "word " * int(n)) for i, n in enumerate(rng.integers(20, 70, 150))] + [(7, "same row " * 12)] * 100 + [(None, None), (None, "x"), (3, ""), (3, "a b " * 200)]
+    docs = spark.createDataFrame([(i, t, "g", 1, 2) for i, t in rows], "doc_id bigint, text string, grp string, bin int, deal int")
+    found = packing.pack(docs, capacity=100).collect()
+    n = check_packing(found, rows, 100)
+    assert n <= 1.15 * sum(r.length for r in found) / 100 + 8 and any(r.bred for r in found)
+    dealt = packing._grouped(packing.cut_pieces(docs.where("doc_id = 7"), 100, packing.default_path(), 0), 100, 1)
+    assert dealt.select("grp").distinct().count() == 3  # rows alike go to all groups
+
+
+def test_ids_of_sequences_differ_in_group_bin_and_pass(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_BINS", 4)
+    bins = spark.sql("select grp, bin from range(40) lateral view explode(sequence(0, 3)) b as bin lateral view explode(array(id)) g as grp")
+    ids = bins.select(packing.sequence_id(0).alias("x")).union(bins.select(packing.sequence_id(1).alias("x")))
+    assert ids.distinct().count() == ids.count() == 320
+    docs = spark.createDataFrame([(i, "word " * 80) for i in range(9)], "doc_id bigint, text string")
+    with pytest.raises(Exception, match="more than 4 bins"):
+        packing.pack(docs, capacity=100).collect()
