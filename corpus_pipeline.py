@@ -12,20 +12,29 @@ from sigloom.llm import decontaminate, minhash, packing, quality, secrets
 from sigloom.llm.store import keep
 
 
+#: Ids of documents to leave out that are sent to all tasks, 16 MB of them; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the ids of ``gone`` (doc_id); texts stay where they are while those ids are few by count."""
+    gone = keep(gone.where("doc_id is not null").distinct(), "left-out")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject.  Null and empty texts are scored like others; rows with a null
     doc_id stay, as no decision can name them."""
     scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    return _without(docs, scored.where("predicted = 0").select("doc_id"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8): that of the smallest doc_id.  Rows with a null
     doc_id stay; rows that repeat a kept doc_id are that document."""
     found = minhash.near_duplicates(docs, words=5)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return _without(docs, found.where("not kept").select("doc_id"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
