@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.plans.base import query
+from sigloom.plans.base import query, table
+from sigloom.sources.bind import articles
 from sigloom.sources.folders import new_folder
+from sigloom.streaming.ingest import Ingest
+from sigloom.streaming.ranges import in_time_ranges
 from sigloom.streaming.streams import drain, event_stream, first_sightings, source_health, windowed_counts
 
 
@@ -44,3 +47,19 @@ def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drain(source_health(_events(spark, sf_dir, max(1, files))), "health", "update", new_folder(spark, "stream"))
     latest = found.groupBy("source").agg(F.max_by(F.struct("failures", "state", "wait_minutes"), "batch").alias("s"))
     return latest.select("source", "s.failures", "s.state", "s.wait_minutes")
+
+
+#: Ranges of time that the articles come in.
+ARRIVALS = 4
+
+
+@query()
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads of the stream of articles: each article's thread, how near it was, and the thread's state at the end, if it
+    is still in the pool.  The stand-in judge says event from a similarity of 0.35 on, as these vectors are spread wide."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = articles(spark, sf_dir).select("id", "title", "tier", F.col("created_at").cast("timestamp").alias("at")).join(vectors, "id")
+    found = Ingest(spark, new_folder(spark, "ingest"), lambda s, thread, article: F.when(s >= 0.35, "event").otherwise("different"))
+    found.drain(in_time_ranges(rows, "at", ARRIVALS, "arrivals"))
+    last = found.threads(ARRIVALS - 1).select("thread_id", "n", "has_primary", "rumor", F.col("last_update").cast("timestamp_ntz").alias("last_update"))
+    return found.members().select("id", "thread_id", F.round("similarity", 5).alias("similarity")).join(last, "thread_id", "left")
