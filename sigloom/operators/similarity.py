@@ -1,4 +1,11 @@
-"""Pairs of vectors by blocks."""
+"""Pairs of vectors by blocks of neighbours, of which only those are compared that may hold a pair.
+
+Vectors are dealt to the nearest of some pivots and cut into blocks there.  A block knows its mean and how far its
+vectors are from it, as a distance and, for vectors of unit length, as an angle; that bounds the products of two blocks.
+The bounds of all block pairs come from these few numbers by chunks of blocks, and matrices travel for the pairs that
+are left only.  Searches take two rounds: each block meets its most promising block first, and what it has found there
+is the bar for all others.
+"""
 
 from __future__ import annotations
 
@@ -10,67 +17,162 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block.
-BLOCK = 2048
+from sigloom.sources.folders import ready_checkpoints
+
+#: Vectors of a block; pivots at most, which the driver holds; blocks of a chunk.
+BLOCK, PIVOTS, CHUNK = 2048, 1024, 1024
+#: What rounding may take from a bound.
+SLACK = 1e-9
+
+BLOCKS = "block bigint, ids binary, x binary, size int, mean binary, far double, wide double"
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-    """A row for each of n blocks of vectors, dealt by hash: ids and one matrix."""
+def _pivots(rows: DataFrame, n: int) -> np.ndarray:
+    """As many vectors as blocks are needed, PIVOTS at most, by a hash of their keys."""
+    picked = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(min(n, PIVOTS)).collect()
+    return np.array([r.v for r in picked], np.float64)
+
+
+def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """A row for each block: ids, one matrix, the mean, the largest distance and the largest angle from it."""
+    ready_checkpoints(rows.sparkSession)
+    rows = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    n = -(-rows.count() // BLOCK)
+    pivots = _pivots(rows, max(1, n))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell = np.argmax(_matrix(batch.column(1), pivots.shape[1]) @ pivots.T, axis=1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["id", "v", "cell"])
 
     def pack(block: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         x = np.stack(part["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"block": [block[0]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "size": [x.shape[1]]})
-
-    dealt = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
-    return dealt.groupBy("block").applyInPandas(pack, "block int, ids binary, x binary, size int")
+        mean = x.mean(axis=0)
+        length = np.linalg.norm(mean)
+        unit = bool((np.abs(np.linalg.norm(x, axis=1) - 1) < 1e-7).all()) and length > 0
+        wide = float(np.arccos(np.clip(x @ (mean / length), -1, 1)).max()) if unit else np.pi
+        far = float(np.linalg.norm(x - mean, axis=1).max())
+        return pd.DataFrame({"block": [block[0]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "size": [x.shape[1]], "mean": [mean.tobytes()], "far": [far], "wide": [wide]})
+
+    dealt = rows.mapInArrow(deal, "id bigint, v array<double>, cell bigint") if n else rows.withColumn("cell", F.lit(0).cast("bigint"))
+    # At most PIVOTS cells; one that holds very many vectors is cut into as many blocks as it takes.
+    cells = F.broadcast(dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
+    part = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts"))
+    dealt = dealt.join(cells, "cell").select("id", "v", (F.shiftleft("cell", 32) + part).alias("block"))
+    return dealt.groupBy("block").applyInPandas(pack, BLOCKS).checkpoint()
+
+
+def _chunks(blocks: DataFrame, side: str) -> tuple[DataFrame, int]:
+    n = max(1, -(-blocks.count() // CHUNK))
+
+    def pack(chunk: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        means = np.stack([np.frombuffer(m, np.float64) for m in part["mean"]])
+        columns = {"blocks": part["block"].to_numpy(np.int64), "means": means, "far": part["far"].to_numpy(float), "wide": part["wide"].to_numpy(float)}
+        return pd.DataFrame({"chunk": [chunk[0]]} | {k: [np.ascontiguousarray(v).tobytes()] for k, v in columns.items()})
+
+    dealt = blocks.select("block", "mean", "far", "wide", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int").alias("chunk"))
+    packed = dealt.groupBy("chunk").applyInPandas(pack, "chunk int, blocks binary, means binary, far binary, wide binary")
+    return packed.select(*[F.col(c).alias(f"{c}{side}") for c in packed.columns]), n
+
+
+def bounds(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> np.ndarray:
+    """No product of a vector of a block of ``one`` with one of a block of ``two`` (means, far, wide) is larger."""
+    (m, far1, wide1), (w, far2, wide2) = one, two
+    long1, long2 = np.linalg.norm(m, axis=1), np.linalg.norm(w, axis=1)
+    product = m @ w.T
+    by_distance = product + long1[:, None] * far2 + far1[:, None] * long2 + far1[:, None] * far2
+    cosine = np.clip(product / np.maximum(long1[:, None] * long2, 1e-300), -1, 1)
+    by_angle = np.cos(np.maximum(np.arccos(cosine) - wide1[:, None] - wide2, 0))
+    both_unit = (wide1[:, None] < np.pi) & (wide2 < np.pi)
+    return np.where(both_unit, np.minimum(by_distance, by_angle), by_distance) + SLACK
+
+
+def block_pairs(asked: DataFrame, blocks: DataFrame, threshold: float, twice: bool = True) -> DataFrame:
+    """block1, block2 and bound of the block pairs that may hold a product from ``threshold`` up; without ``twice`` a pair
+    of blocks of one table comes once."""
+    one, _ = _chunks(asked, "1")
+    two, n = _chunks(blocks, "2")
+    both = one.withColumn("chunk2", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(two, "chunk2")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                get = lambda name, kind=np.float64: np.frombuffer(batch.column(name)[k].as_buffer(), kind)  # noqa: E731, B023
+                side = lambda s: (get(f"means{s}").reshape(len(get(f"far{s}")), -1), get(f"far{s}"), get(f"wide{s}"))  # noqa: E731, B023
+                first, second = get("blocks1", np.int64), get("blocks2", np.int64)
+                bound = bounds(side("1"), side("2"))
+                i, j = np.nonzero((bound >= threshold) & (twice | (first[:, None] <= second)))
+                yield pa.RecordBatch.from_arrays([pa.array(first[i]), pa.array(second[j]), pa.array(bound[i, j])], names=["block1", "block2", "bound"])
 
-def _read(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row[f"ids{side}"], np.int64), np.frombuffer(row[f"x{side}"], np.float64).reshape(-1, row["size"])
+    return both.mapInArrow(run, "block1 bigint, block2 bigint, bound double")
 
 
 def _side(blocks: DataFrame, side: str) -> DataFrame:
-    return blocks.select(F.col("block").alias(f"block{side}"), F.col("ids").alias(f"ids{side}"), F.col("x").alias(f"x{side}"), *(["size"] if side == "1" else []))
+    return blocks.select(F.col("block").alias(f"block{side}"), F.col("ids").alias(f"ids{side}"), F.col("x").alias(f"x{side}"), F.col("size").alias(f"size{side}"))
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """Block numbers, ids and matrices of a row at a time, without a copy of a batch's matrices."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            buffer = lambda name: batch.column(name)[k].as_buffer()  # noqa: E731, B023
+            read = lambda s: (np.frombuffer(buffer(f"ids{s}"), np.int64), np.frombuffer(buffer(f"x{s}"), np.float64).reshape(-1, batch.column(f"size{s}")[k].as_py()))  # noqa: E731, B023
+            yield batch.column("block1")[k].as_py(), batch.column("block2")[k].as_py(), read("1"), read("2")
 
 
 def similar(rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """a < b and similarity of all unit vectors whose product reaches the threshold."""
-    n = max(1, -(-rows.count() // BLOCK))
-    blocks = _blocks(rows, key, vector, n)
-    asks = _side(blocks, "1").withColumn("block2", F.explode(F.sequence("block1", F.lit(n - 1))))
-    both = asks.join(_side(blocks, "2"), "block2")
+    """a < b and similarity of all vectors whose product reaches the threshold."""
+    blocks = _blocks(rows, key, vector)
+    both = block_pairs(blocks, blocks, threshold, twice=False).join(_side(blocks, "1"), "block1").join(_side(blocks, "2"), "block2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (ids1, x1), (ids2, x2) = _read(row, "1"), _read(row, "2")
-                s = x1 @ x2.T
-                i, j = np.nonzero((s >= threshold) & ((ids1[:, None] < ids2[None, :]) | (row["block1"] != row["block2"])))
-                a, b = np.minimum(ids1[i], ids2[j]), np.maximum(ids1[i], ids2[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s[i, j])], names=["a", "b", "similarity"])
+        for block1, block2, (ids1, x1), (ids2, x2) in _each(batches):
+            s = x1 @ x2.T
+            i, j = np.nonzero((s >= threshold) & ((ids1[:, None] < ids2[None, :]) | (block1 != block2)))
+            a, b = np.minimum(ids1[i], ids2[j]), np.maximum(ids1[i], ids2[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s[i, j])], names=["a", "b", "similarity"])
 
     return both.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+def later_pairs(pairs: DataFrame, first: DataFrame, bars: DataFrame, floor: float) -> DataFrame:
+    """The block pairs that may still better what their block1 has found: not those of ``first``, nor below its bar."""
+    left = pairs.join(first.select("block1", "block2"), ["block1", "block2"], "left_anti").join(bars, "block1", "left")
+    return left.where(F.col("bound") >= F.coalesce("bar", F.lit(floor))).select("block1", "block2", "bound")
+
+
 def best_matches(asked: DataFrame, rows: DataFrame, key: str, vector: str, k: int, floor: float, earlier: bool = False) -> DataFrame:
     """The k nearest rows of each asked vector from ``floor`` up, other than itself or, with ``earlier``, of a smaller key
     only: the best k of every block pair, then of them all."""
-    n, m = max(1, -(-rows.count() // BLOCK)), max(1, -(-asked.count() // BLOCK))
-    asks = _side(_blocks(asked, key, vector, m), "1").withColumn("block2", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    both = asks.join(_side(_blocks(rows, key, vector, n), "2"), "block2")
+    asks = _blocks(asked, key, vector)
+    blocks = asks if asked is rows else _blocks(rows, key, vector)
+    pairs = block_pairs(asks, blocks, floor).checkpoint()
+    schema = "block1 bigint, id bigint, other bigint, similarity double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (ids1, x1), (ids2, x2) = _read(row, "1"), _read(row, "2")
-                s = x1 @ x2.T
-                s[(ids1[:, None] <= ids2[None, :]) if earlier else (ids1[:, None] == ids2[None, :])] = -np.inf
-                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(s, order, axis=1)
-                i, j = np.nonzero(best >= floor)
-                yield pa.RecordBatch.from_arrays([pa.array(ids1[i]), pa.array(ids2[order[i, j]]), pa.array(best[i, j])], names=["id", "other", "similarity"])
-
-    found = both.mapInArrow(run, "id bigint, other bigint, similarity double")
+        for block1, _, (ids1, x1), (ids2, x2) in _each(batches):
+            s = x1 @ x2.T
+            s[(ids1[:, None] <= ids2[None, :]) if earlier else (ids1[:, None] == ids2[None, :])] = -np.inf
+            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(s, order, axis=1)
+            i, j = np.nonzero(best >= floor)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block1)), pa.array(ids1[i]), pa.array(ids2[order[i, j]]), pa.array(best[i, j])], names=["block1", "id", "other", "similarity"])
+
+    def compared(these: DataFrame) -> DataFrame:
+        return these.join(_side(asks, "1"), "block1").join(_side(blocks, "2"), "block2").mapInArrow(run, schema)
+
+    first = pairs.groupBy("block1").agg(F.max_by("block2", F.struct("bound", "block2")).alias("block2"))
+    found = compared(first).checkpoint()
+    # A block's bar: the worst k-th best of its vectors, where all of them have found k.
+    kth = found.groupBy("block1", "id").agg(F.count("*").alias("n"), F.min("similarity").alias("kth")).where(F.col("n") >= k)
+    sizes = asks.select(F.col("block").alias("block1"), (F.octet_length("ids") / 8).alias("vectors"))
+    bars = kth.groupBy("block1").agg(F.count("*").alias("full"), F.min("kth").alias("bar")).join(sizes, "block1").where(F.col("full") == F.col("vectors")).select("block1", "bar")
+    found = found.union(compared(later_pairs(pairs, first, bars, floor)))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return found.withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("id", key)
+    return found.drop("block1").withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("id", key)
