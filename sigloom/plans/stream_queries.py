@@ -10,41 +10,45 @@ from sigloom.sources.bind import articles
 from sigloom.sources.folders import new_folder
 from sigloom.streaming.ingest import Ingest
 from sigloom.streaming.ranges import in_time_ranges
-from sigloom.streaming.streams import drain, event_stream, first_sightings, source_health, windowed_counts
+from sigloom.streaming.streams import LOOKBACKS, drain, event_stream, first_sightings, lookback_counts, source_health, windowed_counts
 
 
-def _events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    return event_stream(spark, f"{sf_dir}/events.parquet", files)
+#: Ranges of time that the events come in.
+PARTS = 6
 
 
-def _span(spark: SparkSession, sf_dir: str) -> str:
-    """A delay that no event exceeds, in whatever order the table's files come."""
-    ts = F.col("ts").cast("timestamp").cast("double")
-    seconds = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.ceil(F.max(ts) - F.min(ts))).first()[0]
-    return f"{int(seconds or 0) + 3600} seconds"
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_stream(spark, f"{sf_dir}/events.parquet", PARTS)
 
 
 @query("select event_type, time_bucket(interval '1 hour', ts) as start, count(*) as n from events group by 1, 2")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts from the stream, the last update of each hour."""
-    found = drain(windowed_counts(_events(spark, sf_dir), _span(spark, sf_dir)), "counts", "update", new_folder(spark, "stream"))
+    found = drain(windowed_counts(_events(spark, sf_dir)), "counts", "update", new_folder(spark, "stream"))
     last = found.groupBy("event_type", "start").agg(F.max_by("n", "batch").alias("n"))
     return last.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(f"""with l(hours, every) as (values {", ".join(map(str, LOOKBACKS))}), w as (select event_type, hours, (floor(epoch(ts) / (every * 3600))::bigint + 1 + unnest(range(hours // every))) * every * 3600 as e from events, l)
+select event_type, hours, timestamp '1970-01-01' + to_seconds(e) as "end", count(*) as n from w group by 1, 2, 3""")
+def stream_lookbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the last 12 hours, day and week from the stream, the last update of each window."""
+    found = drain(lookback_counts(_events(spark, sf_dir)), "lookbacks", "update", new_folder(spark, "stream"))
+    last = found.groupBy("event_type", "hours", "end").agg(F.max_by("n", "batch").alias("n"))
+    return last.withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
 @query("select count(*) as n, count(distinct event_id) as ids from events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many first sightings a stream lets through."""
-    found = drain(first_sightings(_events(spark, sf_dir), _span(spark, sf_dir)), "dedup", "append", new_folder(spark, "stream"))
+    found = drain(first_sightings(_events(spark, sf_dir)), "dedup", "append", new_folder(spark, "stream"))
     return found.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
 @query()
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source health from the stream.  All files are one batch, whose events each source sorts: files needn't be cut by
-    time, and state kept from one to the next would be in the files' order."""
-    files = len(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles())
-    found = drain(source_health(_events(spark, sf_dir, max(1, files))), "health", "update", new_folder(spark, "stream"))
+    """Source health from the stream: its state goes from one range of time to the next."""
+    found = drain(source_health(_events(spark, sf_dir)), "health", "update", new_folder(spark, "stream"))
     latest = found.groupBy("source").agg(F.max_by(F.struct("failures", "state", "wait_minutes"), "batch").alias("s"))
     return latest.select("source", "s.failures", "s.state", "s.wait_minutes")
 

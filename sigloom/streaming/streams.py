@@ -1,21 +1,23 @@
-"""The same results from streams: counts in event-time windows, first sightings, and source health with keyed state."""
+"""The same results from streams: counts in event-time windows, look-backs, first sightings, and source health with keyed
+state.  Batches are ranges of time, so watermarks are short and state goes as time moves on."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.operators.health import BACKOFF, DEGRADED, QUARANTINED
+from sigloom.streaming.ranges import in_time_ranges
 
 
-def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """Events as a stream of files, in event time.  A pattern stands for the path, which may be one file or a folder."""
-    schema = spark.read.parquet(path).schema
-    path = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, path: str, parts: int, arrival: str = "ts") -> DataFrame:
+    """Events as a stream of ranges of ``arrival``, by default of their own time, so that none of a batch is older than
+    those of the batch before, in whatever order the table's files come."""
+    events = spark.read.parquet(path)
+    return in_time_ranges(events.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null"), arrival, parts, "events")
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -24,13 +26,38 @@ def windowed_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.select("event_type", F.col("w.start").alias("start"), "n")
 
 
+#: Hours that look-backs reach, and hours between their ends.
+LOOKBACKS = ((12, 1), (24, 2), (168, 12))
+
+
+def lookback_counts(events: DataFrame, late_hours: int = 1) -> DataFrame:
+    """Events of each type in sliding windows of all look-backs: hours, end and n, in one stream with one state.
+
+    An event falls into the windows [end - hours, end).  The watermark is set on the ends: the furthest end that an event
+    has is LOOKBACKS' longest after it, so a delay of that and ``late_hours`` keeps a window until it ended that long
+    before the newest event; later events are left out, and the window's state goes.  Spark judges a batch's rows by the
+    watermark that stood before the batch before it, so lateness is what that allows, never less than ``late_hours``."""
+    second = F.unix_seconds("ts")
+
+    def windows_of(hours: int, every: int) -> Column:
+        step = 3600 * every
+        first = (F.floor(second / step) + 1) * step
+        return F.transform(F.sequence(F.lit(0), F.lit(hours // every - 1)), lambda k: F.struct(F.lit(hours).alias("hours"), F.timestamp_seconds(first + k * step).alias("end")))
+
+    windows = [windows_of(hours, every) for hours, every in LOOKBACKS]
+    rows = events.select("event_type", F.explode(F.concat(*windows)).alias("w")).select("event_type", "w.hours", "w.end")
+    longest = max(h + e for h, e in LOOKBACKS)
+    return rows.withWatermark("end", f"{longest + late_hours} hours").groupBy("event_type", "hours", "end").agg(F.count("*").alias("n"))
+
+
 def first_sightings(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Each event id once."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def source_health(events: DataFrame) -> DataFrame:
-    """Failures in a row and state of each source (user_id), kept between batches: what the ordered fold gives."""
+    """Failures in a row and state of each source (user_id), kept between batches, which must come in order of time: what
+    the ordered fold gives.  A source's events of a batch are sorted together, so a batch's range bounds that work."""
     rank = {"healthy": 0, "degraded": 1, "quarantined": 2}
     names = list(rank)
 
