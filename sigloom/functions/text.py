@@ -33,7 +33,7 @@ ERROR_HINTS = (
 )
 MARKET_TAG = r"(?i)^\s*[\[(]\s*(offer|wts|wtb|wtt|selling|sell|for\s*sale|giveaway|promo|discount|deal)\s*[\])]"
 HAVE_WANT = r"(?i)\[\s*h\s*\][^\[]*\[\s*w\s*\]|\[\s*w\s*\][^\[]*\[\s*h\s*\]"
-VERSION_ONLY = r"(?i)^\s*(?:release\s+)?v?\d+(?:\.\d+){1,3}(?:[-.]\w[\w.]*)?\s*$"
+VERSION_ONLY = r"(?i)^\s*(?:release\s+)?v?\d+(?:\.\d+){1,3}(?:[-.][\w.]+)?\s*$"
 LEAST_BODY = 80
 AMBIGUOUS = ("gemini", "grok")
 

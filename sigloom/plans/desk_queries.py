@@ -158,10 +158,12 @@ def probe_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALIASES = [("g", "Gemini 3.5"), ("g", "Gemini 4 Pro"), ("g", "gemini"), ("g", "Bard"), ("o", "GPT-5"), ("o", "GPT-4.1"), ("o", "o3"), ("c", "Opus 5"), ("c", None), ("c", "opus 4.5 max")]
 
 
-@query(f"""with {cases.values("a", ALIASES, "target string, alias string")} select target, lower(trim(regexp_extract(alias, '^([^0-9]*)', 1))) as anchor, max(nullif(regexp_extract(alias, '([0-9]+(?:\\.[0-9]+)?)', 1), '')::double) as version from a where alias is not null group by 1, 2""")
+@query(f"""with {cases.values("said", ALIASES, "target string, alias string")}, a as (select * from said union all select p_brand, p_name || ' ' || p_size || '.5' from part) select target, lower(trim(regexp_extract(alias, '^([^0-9]*)', 1))) as anchor, max(nullif(regexp_extract(alias, '([0-9]+(?:\\.[0-9]+)?)', 1), '')::double) as version from a where alias is not null group by 1, 2""")
 def alias_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest version that a target's aliases name for each product; null where they name none."""
-    rows = cases.literal(spark, ALIASES, "target string, alias string").where("alias is not null")
+    """The newest version that a target's aliases name for each product; null where they name none.  Parts are aliases of
+    their brands beside the cases."""
+    parts = table(spark, sf_dir, "part").select("p_brand", F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(".5")))
+    rows = cases.literal(spark, ALIASES, "target string, alias string").union(parts).where("alias is not null")
     version = F.nullif(F.regexp_extract("alias", r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
     return rows.groupBy("target", F.lower(F.trim(F.regexp_extract("alias", "^([^0-9]*)", 1))).alias("anchor")).agg(F.max(version).alias("version"))
 
@@ -181,7 +183,7 @@ SEEN = [
 _TERM_KEY = "regexp_replace(lower({t}), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]+', '', 'g')"
 
 
-@query(f"""with {cases.values("prop", PROPOSED, "target string, place int, term string, scope string")}, {cases.values("known", KNOWN, "target string, alias string")}, {cases.values("seen", SEEN, "target string, title string")},
+@query(f"""with {cases.values("prop", PROPOSED, "target string, place int, term string, scope string")}, {cases.values("known", KNOWN, "target string, alias string")}, {cases.values("seen0", SEEN, "target string, title string")}, {ARTICLES}, seen as (select * from seen0 union all select 'g', title || ' Gemini 5' from article),
 t as (select target, min(trim(title)) as title from seen where trim(title) <> '' group by target, regexp_replace(lower(trim(title)), '\\s+', ' ', 'g')),
 p as (select target, place, trim(term, ' "“”') as term, lower(trim(term, ' "“”')) as low, scope from prop),
 s as (select p.*, (select count(*) from t where t.target = p.target and case when regexp_matches(term, '[A-Za-z0-9]') then regexp_matches(title, '(?i)(^|[^0-9A-Za-z])\\Q' || term || '\\E($|[^0-9A-Za-z])') else contains(lower(title), low) end) as support from p
@@ -195,6 +197,7 @@ def vocab_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A model proposes few terms to a target, so titles meet them by target; other targets' aliases are met by an equal
     join on the parts of a term's key.  Titles that differ in case and space count once; null ones don't count.
+    The articles' titles stand beside the cases, about one target.
     """
     key = lambda c: F.regexp_replace(F.lower(c), "[^0-9a-z\\u4e00-\\u9fff\\u3040-\\u30ff\\uac00-\\ud7af]+", "")
     term = F.trim("term", F.lit(' "“”'))
@@ -208,7 +211,8 @@ def vocab_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     others = known.select(F.col("target").alias("owner"), key("alias").alias("part")).where("length(part) >= 4")
     foreign = parts.join(others, "part").where("target <> owner").select("target", "place")
     terms = terms.join(own.union(foreign).distinct(), ["target", "place"], "left_anti")
-    titles = cases.literal(spark, SEEN, "target string, title string").select("target", F.trim("title").alias("title")).where("title <> ''")
+    seen = articles(spark, sf_dir).select(F.lit("g"), F.concat("title", F.lit(" Gemini 5")))
+    titles = cases.literal(spark, SEEN, "target string, title string").union(seen).select("target", F.trim("title").alias("title")).where("title <> ''")
     titles = titles.groupBy("target", F.regexp_replace(F.lower("title"), r"\s+", " ")).agg(F.min("title").alias("title")).select("target", "title")
     bounded = F.concat(F.lit(r"(?i)(?<![0-9A-Za-z])\Q"), "term", F.lit(r"\E(?![0-9A-Za-z])"))
     holds = F.when(F.col("term").rlike("[A-Za-z0-9]"), F.regexp_like("title", bounded)).otherwise(F.lower("title").contains(F.col("low")))
@@ -233,7 +237,7 @@ _PARTS = lambda v: (
 )
 
 
-@query(f"""with {cases.values("t", TRACKERS, TRACKER)}, r as (select id, list_filter(list_transform(list_concat(case when coalesce(name, '') = '' then {_NO} else [name] end, {", ".join(_PARTS(c) for c in ("target", "normalized_intent", "fetch_policy"))}), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, 'http')) as l from t)
+@query(f"""with {cases.values("t0", TRACKERS, TRACKER)}, t as (select * from t0 union all select 1000 + event_id, event_type, props, null, '{{"entities": ["' || event_type || '", "' || user_id || '"]}}' from events), r as (select id, list_filter(list_transform(list_concat(case when coalesce(name, '') = '' then {_NO} else [name] end, {", ".join(_PARTS(c) for c in ("target", "normalized_intent", "fetch_policy"))}), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, 'http')) as l from t)
 select id, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:{MOST_ANCHORS}] as terms from r""")
 def profile_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms of a target: its name and what its three JSON fields list, each once, no addresses, twenty at most.
@@ -253,7 +257,9 @@ def profile_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.when(F.coalesce("name", F.lit("")) == "", none).otherwise(F.array("name"))
     raw = F.transform(F.concat(named, parts("target"), parts("normalized_intent"), parts("fetch_policy")), lambda t: F.trim(t))
     kept = F.array_distinct(F.filter(raw, lambda t: (t != "") & ~t.startswith("http")))
-    return cases.literal(spark, TRACKERS, TRACKER).select("id", F.slice(kept, 1, MOST_ANCHORS).alias("terms"))
+    policy = F.concat(F.lit('{"entities": ["'), "event_type", F.lit('", "'), F.col("user_id").cast("string"), F.lit('"]}'))
+    events = table(spark, sf_dir, "events").select(F.col("event_id") + 1000, "event_type", "props", F.lit(None).cast("string"), policy)
+    return cases.literal(spark, TRACKERS, TRACKER).union(events).select("id", F.slice(kept, 1, MOST_ANCHORS).alias("terms"))
 
 
 @query(f"""with {THREADS}, rg as (select thread_id, not bool_or(tier in ('primary', 'curated')) as rumor from member group by 1),
@@ -302,10 +308,11 @@ TOPICS = [(1, "A rare disease and its drug", "ALS & more"), (2, "zero-day exploi
 _ASKED = "replace(url_encode(coalesce(nullif(en, ''), substr(trim(coalesce(text, '')), 1, 60))), '%2F', '/')"
 
 
-@query(f"with {cases.values('t', TOPICS, 'id bigint, text string, en string')} " + " union all ".join(f"select id, '{kind}' as kind, replace('{url}', '{{q}}', {_ASKED}) as url from t where {_any('lower(text)', words)}" for words, kind, url in REGISTRIES))
+@query(f"with {cases.values('t0', TOPICS, 'id bigint, text string, en string')}, {ARTICLES}, t as (select * from t0 union all select 100 + id, title || ' paper', null from article) " + " union all ".join(f"select id, '{kind}' as kind, replace('{url}', '{{q}}', {_ASKED}) as url from t where {_any('lower(text)', words)}" for words, kind, url in REGISTRIES))
 def registry_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registries that a topic's words call for, and what they are asked."""
-    rows = cases.literal(spark, TOPICS, "id bigint, text string, en string")
+    """Registries that a topic's words call for, and what they are asked; titles are topics beside the cases."""
+    titles = articles(spark, sf_dir).select(F.col("id") + 100, F.concat("title", F.lit(" paper")), F.lit(None).cast("string"))
+    rows = cases.literal(spark, TOPICS, "id bigint, text string, en string").union(titles)
     q = F.url_encode(F.coalesce(F.nullif("en", F.lit("")), F.substring(F.trim(F.coalesce("text", F.lit(""))), 1, 60)))
     for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
         q = F.replace(q, F.lit(old), F.lit(new))

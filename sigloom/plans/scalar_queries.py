@@ -17,11 +17,13 @@ from sigloom.sources.bind import ARTICLES, THREADS, articles, threads
 TIMES = [(1, "2024-03-01T10:00:00+02:00"), (2, "2024-03-01T10:00:00Z"), (3, "2024-03-01T10:00:00"), (4, "2024-02-29T23:59:59-05:30"), (5, "not a time"), (6, None)]
 
 
-@query(f"""with {cases.values("t", TIMES, "id bigint, text string")}, z as (select id, text, case when regexp_matches(text, '(Z|[+-]\\d\\d:\\d\\d)$') then text else text || 'Z' end as zoned from t)
+@query(f"""with {cases.values("t0", TIMES, "id bigint, text string")}, t as (select * from t0 union all select 100 + event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case event_type when 'click' then '+02:00' when 'view' then 'Z' when 'error' then ' no' else '' end from events), z as (select id, text, case when regexp_matches(text, '(Z|[+-]\\d\\d:\\d\\d)$') then text else text || 'Z' end as zoned from t)
 select id, timestamp '1970-01-01' + to_seconds(epoch(try_cast(zoned as timestamptz))::bigint) as "at" from z""")
 def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times as written, with or without an offset, as UTC without one; what is no time is null."""
-    rows = cases.literal(spark, TIMES, "id bigint, text string")
+    offset = F.when(F.col("event_type") == "click", "+02:00").when(F.col("event_type") == "view", "Z").when(F.col("event_type") == "error", " no").otherwise("")
+    events = table(spark, sf_dir, "events").select(F.col("event_id") + 100, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), offset))
+    rows = cases.literal(spark, TIMES, "id bigint, text string").union(events)
     zoned = F.when(F.col("text").rlike(r"(Z|[+-]\d\d:\d\d)$"), F.col("text")).otherwise(F.concat("text", F.lit("Z")))
     seconds = F.unix_seconds(zoned.try_cast("timestamp"))
     return rows.select("id", (F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)).alias("at"))
@@ -41,10 +43,12 @@ def briefing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTS = [(1, '["a", "b"]'), (2, "[]"), (3, "bad"), (4, None), (5, '["a"'), (6, ""), (7, '["x, y", "z"]')]
 
 
-@query(f"""with {cases.values("t", LISTS, "id bigint, text string")} select id, case when json_valid(text) then from_json(text, '["VARCHAR"]') else cast([] as varchar[]) end as items from t""")
+@query(f"""with {cases.values("t0", LISTS, "id bigint, text string")}, t as (select * from t0 union all select 100 + event_id, case event_type when 'error' then 'error' else '["' || event_type || '", "' || user_id || '"]' end from events) select id, case when json_valid(text) then from_json(text, '["VARCHAR"]') else cast([] as varchar[]) end as items from t""")
 def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists in JSON; what is none is empty."""
-    rows = cases.literal(spark, LISTS, "id bigint, text string")
+    written = F.concat(F.lit('["'), "event_type", F.lit('", "'), F.col("user_id").cast("string"), F.lit('"]'))
+    events = table(spark, sf_dir, "events").select(F.col("event_id") + 100, F.when(F.col("event_type") == "error", "error").otherwise(written))
+    rows = cases.literal(spark, LISTS, "id bigint, text string").union(events)
     return rows.select("id", F.coalesce(F.from_json("text", "array<string>"), F.expr("cast(array() as array<string>)")).alias("items"))
 
 
@@ -85,13 +89,15 @@ _PARTY = " or ".join([*[f"h like '%{s}'" for s in T.FIRST_PARTY_SUFFIXES], *[f"h
 _HAS = lambda names: " or ".join(f"contains(h, '{n}')" for n in names)
 
 
-@query(f"""with {cases.values("link", LINKS, LINK)}, h as (select *, {_BARE} as h, trim(regexp_extract(title, '\\s+[-–—]\\s+([^-–—]{{2,42}})\\s*$', 1)) as named from link)
+@query(f"""with {cases.values("link0", LINKS, LINK)}, {ARTICLES}, link as (select * from link0 union all select 100 + page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) || ' - Some Paper', null from pages union all select 1000000 + id, 'https://news.google.com/' || id, title || ' - ' || publisher, tier from article), h as (select *, {_BARE} as h, trim(regexp_extract(title, '\\s+[-–—]\\s+([^-–—]{{2,42}})\\s*$', 1)) as named from link)
 select id, case when ({" or ".join(f"h = '{a}' or h like '%.{a}'" for a in AGGREGATORS)}) and named <> '' then named else h end as shown,
   case when tier = 'primary' or (tier is null and ({_PARTY})) then 'first_party' when {_HAS(SOCIAL)} then 'social' when {_HAS(GENERATED)} then 'generated_feed' else 'media' end as kind from h""")
 def shown_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source to show for a link, and its kind."""
     bare = F.regexp_replace(T.host(F.col("url")), r"^www\.", "")
-    rows = cases.literal(spark, LINKS, LINK).withColumn("h", bare)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id") + 100, "url", F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" - Some Paper")), F.lit(None).cast("string"))
+    news = articles(spark, sf_dir).select(F.col("id") + 1_000_000, F.concat(F.lit("https://news.google.com/"), F.col("id").cast("string")), F.concat("title", F.lit(" - "), "publisher"), "tier")
+    rows = cases.literal(spark, LINKS, LINK).union(pages).union(news).withColumn("h", bare)
     named = F.trim(F.regexp_extract("title", r"\s+[-–—]\s+([^-–—]{2,42})\s*$", 1))
     party = (F.col("tier") == "primary") | (F.col("tier").isNull() & T.first_party(F.col("url")))
     kind = F.when(party, "first_party").when(T.any_of(F.col("h"), SOCIAL), "social").when(T.any_of(F.col("h"), GENERATED), "generated_feed").otherwise("media")
@@ -105,14 +111,21 @@ SUMMARIES = [
 SUMMARY = "id bigint, summary string, title string"
 
 
-@query(f"""with {cases.values("s", SUMMARIES, SUMMARY)}, p as (select *, starts_with(coalesce(summary, ''), '[TITLE: ') and contains(summary, ']\n\n') as whole, string_split(summary, '\n\n---\n')[1] as head from s),
+@query(f"""with {cases.values("s0", SUMMARIES, SUMMARY)}, {ARTICLES}, s as (select * from s0 union all select 100 + id, case tier when 'primary' then content else '[TITLE: ' || title || ']
+
+' || content || '
+
+---
+' || url end, title from article), p as (select *, starts_with(coalesce(summary, ''), '[TITLE: ') and contains(summary, ']\n\n') as whole, string_split(summary, '\n\n---\n')[1] as head from s),
 q as (select *, instr(head, ']\n\n') as cut from p),
 r as (select *, case when starts_with(summary, '[TITLE:') and cut > 0 then trim(substr(head, 8, cut - 8)) end as t, case when starts_with(summary, '[TITLE:') and cut > 0 then trim(substr(head, cut + 3), ' \n') end as b from q)
 select id, case when whole then substr(summary, 9, instr(summary, ']\n\n') - 9) when length(title) > 80 then substr(title, 1, 77) || '...' else title end as card_title,
   case when whole then substr(summary, instr(summary, ']\n\n') + 3) else summary end as card_body, case when t <> '' and b <> '' then t || '\n\n' || b end as previous from r""")
 def summary_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and body of a stored summary, and its written part without what follows it."""
-    rows = cases.literal(spark, SUMMARIES, SUMMARY)
+    written = F.concat(F.lit("[TITLE: "), "title", F.lit("]\n\n"), "content", F.lit("\n\n---\n"), "url")
+    stored = articles(spark, sf_dir).select(F.col("id") + 100, F.when(F.col("tier") == "primary", F.col("content")).otherwise(written), "title")
+    rows = cases.literal(spark, SUMMARIES, SUMMARY).union(stored)
     at = F.position(F.lit("]\n\n"), F.col("summary"))
     whole = F.coalesce(F.col("summary").startswith("[TITLE: ") & (at > 0), F.lit(False))
     title = F.when(whole, F.expr("substring(summary, 9, position(']\\n\\n', summary) - 9)")).when(F.length("title") > 80, F.concat(F.substring("title", 1, 77), F.lit("..."))).otherwise(F.col("title"))
@@ -157,10 +170,12 @@ _NUMBER = r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
 STRICT = rf"^\s*\[\s*({_NUMBER}(\s*,\s*{_NUMBER})*)?\s*\]\s*$"
 
 
-@query(f"""with {cases.values("t", VECTORS, "id bigint, text string")} select id, regexp_matches(coalesce(text, ''), '{STRICT}') as valid, case when regexp_matches(coalesce(text, ''), '{STRICT}') then from_json(text, '["DOUBLE"]') end as vector from t""")
+@query(f"""with {cases.values("t0", VECTORS, "id bigint, text string")}, t as (select * from t0 union all select 1000 + l_orderkey * 10 + l_linenumber, '[' || l_orderkey || case l_returnflag when 'A' then ', ' when 'R' then ',, ' else ' ,-' end || l_linenumber || '.5]' from lineitem) select id, regexp_matches(coalesce(text, ''), '{STRICT}') as valid, case when regexp_matches(coalesce(text, ''), '{STRICT}') then from_json(text, '["DOUBLE"]') end as vector from t""")
 def vector_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in JSON, read strictly: what isn't a list of numbers is marked and has no vector."""
-    rows = cases.literal(spark, VECTORS, "id bigint, text string")
+    between = F.when(F.col("l_returnflag") == "A", ", ").when(F.col("l_returnflag") == "R", ",, ").otherwise(" ,-")
+    lines = table(spark, sf_dir, "lineitem").select(1000 + F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.concat(F.lit("["), F.col("l_orderkey").cast("string"), between, F.col("l_linenumber").cast("string"), F.lit(".5]")))
+    rows = cases.literal(spark, VECTORS, "id bigint, text string").union(lines)
     valid = F.coalesce("text", F.lit("")).rlike(STRICT)
     return rows.select("id", valid.alias("valid"), F.when(valid, F.from_json("text", "array<double>")).alias("vector"))
 

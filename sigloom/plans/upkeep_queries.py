@@ -261,7 +261,7 @@ WALLS = [(3, "https://example.org/a"), (None, "https://x.com/someone"), (None, "
 _PLATFORM = "case " + " ".join(f"when {' or '.join(f'''contains(url, '{d}')''' for d in domains)} then '{name}'" for name, domains in PLATFORMS) + " end"
 
 
-@query(f"""with {cases.values("auth", AUTHS, "id bigint, platform string, status string")}, {cases.values("wall", WALLS, "profile bigint, url string")}, p as (select nullif(profile, 0) as profile, {_PLATFORM} as platform from wall),
+@query(f"""with {cases.values("auth", AUTHS, "id bigint, platform string, status string")}, {cases.values("wall0", WALLS, "profile bigint, url string")}, wall as (select * from wall0 union all select case when contains(url, 'login') then page_id end, url from pages), p as (select nullif(profile, 0) as profile, {_PLATFORM} as platform from wall),
 hit as (select distinct a.id from auth a join p on p.profile = a.id or (p.profile is null and p.platform = a.platform)) select id, platform, case when id in (select id from hit) then 'Expired' else status end as status, id in (select id from hit) as checked from auth""")
 def auth_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logins after the walls of a run: a wall expires the login that it names, or all of its address's platform."""
@@ -269,7 +269,8 @@ def auth_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     platform = F.lit(None).cast("string")
     for name, domains in reversed(PLATFORMS):
         platform = F.when(T.any_of(F.col("url"), domains), name).otherwise(platform)
-    walls = cases.literal(spark, WALLS, "profile bigint, url string").select(F.nullif("profile", F.lit(0)).alias("profile"), platform.alias("platform"))
+    pages = table(spark, sf_dir, "pages").select(F.when(F.col("url").contains("login"), F.col("page_id")), "url")
+    walls = cases.literal(spark, WALLS, "profile bigint, url string").union(pages).select(F.nullif("profile", F.lit(0)).alias("profile"), platform.alias("platform"))
     hit = walls.where("profile is not null").select(F.col("profile").alias("id")).union(auth.join(walls.where("profile is null"), "platform", "left_semi").select("id")).distinct()
     rows = auth.join(hit.withColumn("checked", F.lit(True)), "id", "left")
     return rows.select("id", "platform", F.when(F.col("checked"), "Expired").otherwise(F.col("status")).alias("status"), F.coalesce("checked", F.lit(False)).alias("checked"))
@@ -278,11 +279,14 @@ def auth_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODES = [(1, "pure_rss"), (2, "ai_fusion"), (3, None), (4, "other")]
 
 
-@query(f"""with {cases.values("m", MODES, "id bigint, mode string")} select id, coalesce(mode, 'ai_fusion') as mode, coalesce(mode, 'ai_fusion') = 'pure_rss' as pure_rss from m""")
+@query(f"""with {cases.values("m0", MODES, "id bigint, mode string")}, m as (select * from m0 union all select 100 + c_custkey, case c_mktsegment when 'BUILDING' then 'pure_rss' when 'MACHINERY' then 'ai_fusion' when 'AUTOMOBILE' then null else lower(c_mktsegment) end from customer) select id, coalesce(mode, 'ai_fusion') as mode, coalesce(mode, 'ai_fusion') = 'pure_rss' as pure_rss from m""")
 def app_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mode of the application: fusion unless it says otherwise; only pure_rss does without models."""
     mode = F.coalesce("mode", F.lit("ai_fusion"))
-    return cases.literal(spark, MODES, "id bigint, mode string").select("id", mode.alias("mode"), (mode == "pure_rss").alias("pure_rss"))
+    segment = F.col("c_mktsegment")
+    set_ = F.when(segment == "BUILDING", "pure_rss").when(segment == "MACHINERY", "ai_fusion").when(segment != "AUTOMOBILE", F.lower(segment))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey") + 100, set_)
+    return cases.literal(spark, MODES, "id bigint, mode string").union(customers).select("id", mode.alias("mode"), (mode == "pure_rss").alias("pure_rss"))
 
 
 TRACKED = [
@@ -296,13 +300,17 @@ INTENTS = (("HYBRID", "topic_discovery"), ("RSS_FEED", "single_feed_subscription
 _KINDS = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in INTENTS) + " else 'single_account_subscription' end"
 
 
-@query(f"""with {cases.values("t", TRACKED, TRACK)}, g as (select *, case when json_valid(target) then target end as t, case when json_valid(policy) then policy end as p from t)
+@query(f"""with {cases.values("t0", TRACKED, TRACK)}, t as (select * from t0 union all select 100 + event_id, event_type, case event_type when 'view' then 'HYBRID' when 'click' then 'RSS_FEED' else 'KEYWORD_DISCOVERY' end, case event_type when 'view' then '{{"topic": "k", "signals": [{{"type": "keyword", "value": "' || user_id || '"}}]}}' when 'click' then 'https://' || user_id || '.example' else '["' || user_id || '"]' end, props from events), g as (select *, case when json_valid(target) then target end as t, case when json_valid(policy) then policy end as p from t)
 select id, {_KINDS} as intent_type, coalesce(case when json_exists(t, '$.signals') then json_extract_string(t, '$.topic') end, name) as topic,
 case when json_type(t) = 'ARRAY' then list_transform(t::varchar[], lambda x: 'keyword:' || x) when json_exists(t, '$.signals') then list_transform(json_extract(t, '$.signals[*]'), lambda x: json_extract_string(x, '$.type') || ':' || json_extract_string(x, '$.value'))
 else ['website:' || target] end as signals, case when json_extract_string(p, '$.keyword_strategy') = 'trusted_news_only' then 'strict' when json_extract_string(p, '$.use_default_osint') = 'true' and coalesce(json_extract_string(p, '$.max_items_per_route')::int, 0) > 25 then 'broad' else 'balanced' end as profile from g""")
 def target_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a target asks for in one form: kind, topic, signals (type:value) and how strict its policy is."""
-    rows = cases.literal(spark, TRACKED, TRACK)
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    asked = F.when(kind == "view", F.concat(F.lit('{"topic": "k", "signals": [{"type": "keyword", "value": "'), user, F.lit('"}]}')))
+    asked = asked.when(kind == "click", F.concat(F.lit("https://"), user, F.lit(".example"))).otherwise(F.concat(F.lit('["'), user, F.lit('"]')))
+    events = table(spark, sf_dir, "events").select(F.col("event_id") + 100, "event_type", F.when(kind == "view", "HYBRID").when(kind == "click", "RSS_FEED").otherwise("KEYWORD_DISCOVERY"), asked, "props")
+    rows = cases.literal(spark, TRACKED, TRACK).union(events)
     kind = F.lit("single_account_subscription")
     for name, intent in reversed(INTENTS):
         kind = F.when(F.col("kind") == name, intent).otherwise(kind)
