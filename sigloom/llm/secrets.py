@@ -87,34 +87,29 @@ def window_entropy(value: Column, alphabet: str) -> Column:
     """The largest entropy in bits of any window of the string, by counts that change with each step of the window.
 
     The counts of the alphabet's letters stand in a few numbers, COUNT_BITS each, and a step changes two of them."""
-    terms = F.array(*[F.lit(float(c * math.log2(c)) if c else 0.0) for c in range(WINDOW + 1)])
-    codes = F.transform(F.array_remove(F.split(value, ""), ""), lambda c: F.position(c, F.lit(alphabet)) - 1)
-    moves = F.arrays_zip(codes.alias("enters"), F.concat(F.array_repeat(F.lit(-1), WINDOW), codes).alias("leaves"), F.sequence(F.lit(1), F.size(codes)).alias("n"))
-    moves = F.filter(moves, lambda m: m["enters"].isNotNull())
-    numbers = range(-(-len(alphabet) // COUNTS))
+    term = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 2)]
+    # What the sum of terms gains where a count of so many grows by one, and loses where it falls by one.
+    grows, falls = F.array(*[F.lit(term[c + 1] - term[c]) for c in range(WINDOW + 1)]), F.array(*[F.lit(term[max(c, 1) - 1] - term[c]) for c in range(WINDOW + 1)])
+    numbers = -(-len(alphabet) // COUNTS)
+    # A letter by the number that holds its count, the count's place there, and one such count.
+    place = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k // COUNTS).alias("number"), F.lit(k % COUNTS * COUNT_BITS).alias("shift"), F.lit(1 << k % COUNTS * COUNT_BITS).cast("bigint").alias("one")) for k in range(len(alphabet))])
+    codes = F.transform(F.array_remove(F.split(value, ""), ""), lambda c: F.get(place, F.position(c, F.lit(alphabet)) - 1))
+    nobody = F.struct(F.lit(-1).alias("k"), F.lit(-1).alias("number"), F.lit(0).alias("shift"), F.lit(0).cast("bigint").alias("one"))
+    moves = F.zip_with(codes, F.slice(F.concat(F.array_repeat(nobody, WINDOW), codes), 1, F.size(codes)), lambda enters, leaves: F.struct(enters.alias("enters"), leaves.alias("leaves")))
 
     def step(state: Column, move: Column) -> Column:
-        into, out = move["enters"], F.greatest(move["leaves"], F.lit(0))
-        leaves = move["leaves"] >= 0
-        number = lambda code: F.floor(code / COUNTS).cast("int")
-        shift = lambda code: (code % COUNTS) * COUNT_BITS
-        held = F.array(*[state[f"c{k}"] for k in numbers])
-        count = lambda code: F.call_function("shiftright", F.get(held, number(code)), shift(code)).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
-        more, less = count(into), F.when(leaves, count(out)).otherwise(0)
-        change = F.when(into == move["leaves"], 0.0).otherwise(
-            F.get(terms, more + 1) - F.get(terms, more) + F.when(leaves, F.get(terms, F.greatest(less - 1, F.lit(0))) - F.get(terms, less)).otherwise(0.0)
-        )
-        one = lambda code: F.call_function("shiftleft", F.lit(1).cast("bigint"), shift(code))
-        counts = [
-            (state[f"c{k}"] + F.when(number(into) == k, one(into)).otherwise(0) - F.when(leaves & (number(out) == k), one(out)).otherwise(0)).alias(f"c{k}")
-            for k in numbers
-        ]
+        into, out = move["enters"], move["leaves"]
+        count = lambda code: F.call_function("shiftright", F.get(state["counts"], code["number"]), code["shift"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+        full = out["k"] >= 0
+        change = F.when(into["k"] == out["k"], 0.0).otherwise(F.get(grows, count(into)) + F.when(full, F.get(falls, count(out))).otherwise(0.0))
+        counts = F.transform(state["counts"], lambda c, k: c + F.when(k == into["number"], into["one"]).otherwise(0) - F.when(k == out["number"], out["one"]).otherwise(0))
         total = state["total"] + change
-        best = F.when(move["n"] >= WINDOW, F.greatest(state["best"], F.lit(math.log2(WINDOW)) - total / WINDOW)).otherwise(state["best"])
-        return F.struct(*counts, total.alias("total"), best.alias("best"))
+        n = state["n"] + 1
+        best = F.when(n >= WINDOW, F.least(state["least"], total)).otherwise(state["least"])
+        return F.struct(counts.alias("counts"), total.alias("total"), best.alias("least"), n.alias("n"))
 
-    start = F.struct(*[F.lit(0).cast("bigint").alias(f"c{k}") for k in numbers], F.lit(0.0).alias("total"), F.lit(-1.0).alias("best"))
-    return F.aggregate(moves, start, step, lambda state: state["best"])
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), numbers).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"), F.lit(0).alias("n"))
+    return F.aggregate(moves, start, step, lambda state: F.lit(math.log2(WINDOW)) - state["least"] / WINDOW)
 
 
 def _suspect(span: Column) -> Column:
