@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sigloom.llm.components import components
 from sigloom.llm.joins import hot_from, join_hot
 from sigloom.llm.store import keep
-from sigloom.llm.textbatch import chunks, flat, fresh_seed, lower, mix, word_bounds, word_hashes
+from sigloom.llm.textbatch import SMALL, chunks, flat, fresh_seed, lower, mix, word_bounds, word_hashes
 
 ROWS, BANDS = 6, 50
 T = ROWS * BANDS
@@ -105,7 +105,7 @@ def sketches(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """doc_id, n_shingles, the 128-bit digest of the set and its bands (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=SMALL):
             sets = shingle_sets(batch.column(1), words, seed)
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             bands = [bands_of(sketch(s)) if len(s) else s for s in sets]
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, words: int, seed: int) -> DataFrame:
 
 def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=SMALL):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shingle_sets(batch.column(1), words, seed))], names=["rep", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "rep bigint, shingles array<bigint>")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.store import keep
-from sigloom.llm.textbatch import chunks, flat, lower, mix, word_bounds, word_hashes
+from sigloom.llm.textbatch import SMALL, chunks, flat, lower, mix, word_bounds, word_hashes
 
 #: Weights of the pooled covariance and of the identity in each class's covariance.
 TO_POOLED, TO_IDENTITY = 0.05, 0.02
@@ -99,7 +99,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id and the features of every row, kept in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=SMALL):
             rows = features(batch.column(1))
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32)), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "x"])

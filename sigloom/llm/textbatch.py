@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes handled at once by one task.  Longer single texts are handled whole.
 CHUNK_BYTES = 2_000_000
+#: The same for work that makes many arrays of a chunk's bytes.
+SMALL = 500_000
 
 #: Words longer than this are fingerprinted by a digest of their bytes.
 LONG_WORD = 128
