@@ -183,9 +183,13 @@ def lead_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("id", second.alias("s")).select("id", F.substring("s", 1, 300).alias("snippet"), (F.length("s") >= 20).alias("usable"))
 
 
+#: Fixed value: names whose values are secrets, and the values.
+SECRET_VALUE = r"(?i)(token|key|cookie|auth|password|secret|credential|pass|pwd|sign|signature)=[^\s&,;?'\"]+"
+
+
 @query()
 def scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of pages without queries, and secrets in them taken out."""
     marked = F.concat_ws(" ", F.col("url"), F.lit("token=abc123&x"))
-    clean = F.regexp_replace(marked, r"(?i)(token|key|cookie|auth|password|secret|credential|pass|pwd|sign|signature)=[^\s&,;?'\"]+", "$1=[REDACTED]")
+    clean = F.regexp_replace(marked, SECRET_VALUE, "$1=[REDACTED]")
     return table(spark, sf_dir, "pages").select("page_id", clean.alias("clean"), T.desensitize_url(F.col("url")).alias("shown"))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import vectors as V
+from sigloom.operators.hashing import hash_embeddings
 from sigloom.operators.similarity import best_matches, similar
-from sigloom.plans.base import query, table
+from sigloom.plans.base import query, sent, table
 
 _MEAN = """mu as (select list(m order by i) as mean from (select i, avg(v::double) as m from (select unnest(range(1, len(embedding) + 1)) as i, unnest(embedding) as v from embeddings) group by i))"""
 _CENTRED = f"""{_MEAN}, cen as (select vec_id, label, list_transform(list_zip(embedding, mean), lambda z: z[1]::double - z[2]) as c from embeddings, mu),
@@ -74,20 +75,32 @@ def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
     profile = rows.withColumn("place", place).where("place <= 3").groupBy("label").agg(F.collect_list("c").alias("profile"))  # three to a label
     best = F.array_max(F.transform("profile", lambda p: V.dot(F.col("c"), p)))
-    scored = rows.join(F.broadcast(profile), "label").select("vec_id", best.alias("r"))
+    scored = rows.join(sent(profile), "label").select("vec_id", best.alias("r"))
     return scored.select("vec_id", F.round("r", 5).alias("relevance"), (F.col("r") < 0.05).alias("gated"))
 
 
-@query("""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), h as (select doc_id, md5(w) as h from t)
-select doc_id, ('0x' || substr(h, 31, 2))::int as bucket, sum(case when ('0x' || substr(h, 30, 1))::int % 2 = 1 then 1 else -1 end)::bigint as weight from h group by 1, 2""")
+@query("""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-zA-Z\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}\\x{ac00}-\\x{d7a3}]+')) as w from documents), h as (select doc_id, md5(w) as h from t),
+s as (select doc_id, ('0x' || substr(h, 31, 2))::int as bucket, sum(case when ('0x' || substr(h, 30, 1))::int % 2 = 1 then 1 else -1 end)::bigint as weight from h group by 1, 2),
+n as (select doc_id, sqrt(sum(weight * weight)) as n from s group by 1)
+select doc_id, bucket, weight, round(case when n > 0 then weight / n else 0 end, 6) as x from s join n using (doc_id)""")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed sums of word hashes in 256 places."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    hashed = table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("w")).select("doc_id", F.md5("w").alias("h"))
-    digit = lambda at: F.position(F.substring("h", at, 1), F.lit("0123456789abcdef")) - 1
-    place = 16 * digit(31) + digit(32)
-    sign = F.when(digit(30) % 2 == 1, 1).otherwise(-1)
-    return hashed.select("doc_id", place.alias("bucket"), sign.alias("s")).groupBy("doc_id", "bucket").agg(F.sum("s").alias("weight"))
+    """Signed sums of word hashes in 256 places, and the vector of length one that they make."""
+    return hash_embeddings(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "bucket", "weight", F.round("x", 6).alias("x"))
+
+
+_COSINE = "list_inner_product(a.embedding::double[], p.embedding::double[]) / nullif(sqrt(list_inner_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_inner_product(p.embedding::double[], p.embedding::double[])), 0)"
+
+
+@query(f"""with prof as (select * from (select *, row_number() over (partition by label order by vec_id) as place from embeddings) where place <= 3)
+select a.vec_id, round(greatest(0, coalesce(max({_COSINE}), 0)), 5) as best from embeddings a left join prof p on p.label = a.label and p.vec_id <> a.vec_id group by 1""")
+def best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest cosine of each vector against the other profile vectors of its label; never below 0."""
+    rows = _vectors(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    profile = rows.withColumn("place", place).where("place <= 3").groupBy("label").agg(F.collect_list(F.struct("vec_id", "v")).alias("refs"))  # three to a label
+    others = F.filter("refs", lambda r: r["vec_id"] != F.col("vec_id"))
+    best = F.array_max(F.transform(others, lambda r: V.cosine(F.col("v"), r["v"])))
+    return rows.join(sent(profile), "label", "left").select("vec_id", F.round(F.greatest(F.lit(0.0), F.coalesce(best, F.lit(0.0))), 5).alias("best"))
 
 
 @query("select vec_id, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 5) as norm, len(embedding)::int as size from embeddings")
