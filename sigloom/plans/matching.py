@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigloom.functions import text as T
 from sigloom.functions import vectors as V
 from sigloom.operators.clustering import arrival_threads
+from sigloom.operators.main_text import main_texts
 from sigloom.operators.pages import readable_pages, unified_diffs
 from sigloom.operators.probe import apply_probe, changes, train_targets
 from sigloom.plans.base import query, table
@@ -228,3 +229,9 @@ def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines added and dropped by every version of a monitor."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     return unified_diffs(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("no"), before.alias("old"), F.col("text").alias("new")))
+
+
+@query()
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each page's best block."""
+    return main_texts(table(spark, sf_dir, "pages"))
