@@ -1,8 +1,8 @@
 """Connected components of links between long ids, by rounds of large and small stars.
 
 Each round is two aggregations with map-side minima and two joins on the node.  The joins carry no salt: a hub's edges
-meet in one task of a round unless Spark splits that partition (its skew join does where a partition is large enough);
-after the first rounds a hub is the smallest node of a star and has its edges as rows of others.  The edges of every round are written to the shared folder, which cuts the lineage.
+meet in one task of a round unless Spark splits that partition (its skew join does where a partition is large enough).
+The edges of every round are written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
