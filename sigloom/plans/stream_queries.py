@@ -10,7 +10,7 @@ from sigloom.sources.bind import articles
 from sigloom.sources.folders import new_folder
 from sigloom.streaming.ingest import Ingest
 from sigloom.streaming.ranges import in_time_ranges
-from sigloom.streaming.streams import LOOKBACKS, drain, event_stream, first_sightings, lookback_counts, source_health, windowed_counts
+from sigloom.streaming.streams import LOOKBACKS, SourceHealth, drain, event_stream, first_sightings, lookback_counts, windowed_counts
 
 
 #: Ranges of time that the events come in.
@@ -48,7 +48,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source health from the stream: its state goes from one range of time to the next."""
-    found = drain(source_health(_events(spark, sf_dir)), "health", "update", new_folder(spark, "stream"))
+    folder = new_folder(spark, "stream")
+    found = drain(_events(spark, sf_dir), "health", "append", folder, SourceHealth(spark, f"{folder}/state").step)
     latest = found.groupBy("source").agg(F.max_by(F.struct("failures", "state", "wait_minutes"), "batch").alias("s"))
     return latest.select("source", "s.failures", "s.state", "s.wait_minutes")
 

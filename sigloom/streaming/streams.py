@@ -1,11 +1,10 @@
-"""The same results from streams: counts in event-time windows, look-backs, first sightings, and source health with keyed
+"""The same results from streams: counts in event-time windows, look-backs, first sightings, and source health with kept
 state.  Batches are ranges of time, so watermarks are short and state goes as time moves on."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,33 +54,51 @@ def first_sightings(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def source_health(events: DataFrame) -> DataFrame:
-    """Failures in a row and state of each source (user_id), kept between batches, which must come in order of time: what
-    the ordered fold gives.  A source's events of a batch are sorted together, so a batch's range bounds that work."""
-    rank = {"healthy": 0, "degraded": 1, "quarantined": 2}
-    names = list(rank)
+HEALTH = "source bigint, failures bigint"
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        failures, level = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for bad in rows["event_type"] == "error":
-            failures = failures + 1 if bad else 0
-            level = max(level, 2 if failures >= QUARANTINED else 1 if failures >= DEGRADED else 0) if bad else 0
-        state.update((failures, level))
-        wait = BACKOFF[min(failures, len(BACKOFF) - 1)] if failures else 0
-        yield pd.DataFrame({"source": [key[0]], "failures": [failures], "state": [names[level]], "wait_minutes": [wait]})
 
-    rows = events.select("user_id", "event_id", "event_type", "ts")
-    return rows.groupBy("user_id").applyInPandasWithState(update, "source bigint, failures int, state string, wait_minutes int", "failures int, level int", "update", "NoTimeout")
+class SourceHealth:
+    """Failures in a row of each source (user_id), kept between batches as a table under each batch's number, so that a
+    batch that runs again starts from the same state; batches must come in order of time.
 
+    A success ends what was before it, so a batch adds to a source the failures after its last success there, and to what
+    was kept where it has none.  Failures only grow between successes, so they tell the state too."""
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote last for each row, by batch."""
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def kept(self, batch: int) -> DataFrame:
+        """The state after a batch; none before the first."""
+        return self.spark.createDataFrame([], HEALTH) if batch < 0 else self.spark.read.schema(f"{HEALTH}, touched boolean").parquet(f"{self.folder}/{batch:06d}").select("source", "failures")
+
+    def step(self, events: DataFrame, number: int) -> DataFrame:
+        """Takes in a micro-batch (user_id, event_id, event_type, ts) and returns the sources that it touched."""
+        at = F.struct("ts", F.col("event_id").isNull().alias("unnamed"), "event_id")  # ids that are null come last
+        rows = events.select(F.col("user_id").alias("source"), at.alias("at"), F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("bad"))
+        last = rows.groupBy(F.col("source").alias("who")).agg(F.max(F.when(~F.col("bad"), F.col("at"))).alias("healed"))
+        failed = rows.where("bad").join(last, F.expr("source <=> who")).where("healed is null or at > healed").groupBy(F.col("source").alias("failing")).agg(F.count("*").alias("more"))
+        before = self.kept(number - 1)
+        touched = last.join(failed, F.expr("who <=> failing"), "left").join(before, F.expr("who <=> source"), "left")
+        had = F.when(F.col("healed").isNull(), F.coalesce("failures", F.lit(0))).otherwise(0)
+        touched = touched.select(F.col("who").alias("source"), (had + F.coalesce("more", F.lit(0))).alias("failures"), F.lit(True).alias("touched"))
+        others = before.join(last, F.expr("source <=> who"), "left_anti").select("source", "failures", F.lit(False))
+        path = f"{self.folder}/{number:06d}"
+        touched.union(others).write.mode("overwrite").partitionBy("touched").parquet(path)  # a batch that runs again writes the same folder
+        failures = F.col("failures")
+        state = F.when(failures >= QUARANTINED, "quarantined").when(failures >= DEGRADED, "degraded").otherwise("healthy")
+        wait = F.get(F.array(*[F.lit(w) for w in BACKOFF]), F.least(failures, F.lit(len(BACKOFF) - 1)).cast("int"))
+        now = self.spark.read.schema(f"{HEALTH}, touched boolean").parquet(path).where("touched")
+        return now.select("source", failures.cast("int").alias("failures"), state.alias("state"), wait.alias("wait_minutes"))
+
+
+def drain(stream: DataFrame, name: str, mode: str, checkpoint: str, step: Callable[[DataFrame, int], DataFrame] = lambda batch, _: batch) -> DataFrame:
+    """Runs a stream over all that is there now and returns what it wrote last for each row, by batch; what ``step`` makes
+    of a batch is written, by default the batch."""
     spark = stream.sparkSession
     out = f"{checkpoint}/{name}-out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/{batch_id:06d}")  # a batch that runs again writes the same folder
+        step(batch, batch_id).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/{batch_id:06d}")  # a batch that runs again writes the same folder
 
     stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{checkpoint}/{name}").foreachBatch(write).start().awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").parquet(out)
