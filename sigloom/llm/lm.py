@@ -33,6 +33,8 @@ from sigloom.llm.textbatch import chunks, flat, fresh_seed, lower, mix, word_bou
 
 #: Tokens that a task counts before it sends sums; tokens for each shard of bigrams; shards at least.
 FLUSH, SHARD_TOKENS, SHARDS = 4_000_000, 4_000_000, 64
+#: Bytes of sums that a task packs before it sends them.
+HELD = 8_000_000
 #: Order of the query's model.
 ORDER = 3
 #: Upper bits of a word's hash that name its shard, at least and at most, and bytes of text for each shard of words.
@@ -313,18 +315,27 @@ def fits(count: int, words: int) -> None:
         raise OverflowError(f"{count} contexts with {words} words each need more than 64 bits: raise the number of shards")
 
 
-def _parts(name_of: np.ndarray, *columns: list) -> pa.RecordBatch:
+def _parts(name_of: np.ndarray | list, *columns: list) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((name_of, *columns), kinds, strict=True)], names=["shard", "n", "a", "b"])
 
 
-def _split(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+def _batched(found: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Keys and counts of shards as rows of packed arrays, some HELD bytes of them at a time."""
+    rows, size = [], 0
+    for shard, keys, counts in found:
+        rows.append((shard, len(keys), _pack(keys), _pack_counts(counts)))
+        size += 16 * len(keys)
+        if size >= HELD:
+            yield _parts(*map(list, zip(*rows, strict=True)))
+            rows, size = [], 0
+    if rows:
+        yield _parts(*map(list, zip(*rows, strict=True)))
+
+
+def _split(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sums by key as a row of packed arrays for each shard."""
-    order = np.argsort(shard, kind="stable")
-    found, first = np.unique(shard[order], return_index=True)
-    edges = [*first[1:], len(order)][: len(first)]
-    groups = [order[a:b] for a, b in zip(first, edges, strict=True)]
-    return _parts(found.astype(np.int64), [len(g) for g in groups], [_pack(keys[g]) for g in groups], [_pack_counts(counts[g]) for g in groups])
+    return _batched((s, keys[some], counts[some]) for s, some in _by_shard(shard))
 
 
 def _counted(docs: DataFrame, seed: int, keys_of: Callable, sums_of: Callable) -> DataFrame:
@@ -332,14 +343,24 @@ def _counted(docs: DataFrame, seed: int, keys_of: Callable, sums_of: Callable) -
     of a few texts, and ``sums_of`` makes rows of columns that are full enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
+
+        def taken() -> Iterator[np.ndarray]:
+            while held:
+                yield np.concatenate(held.pop(0))  # its parts go before the next column's are put together
+
+        n = 0
         for batch in chunks(batches):
-            held.append(keys_of(*tokens_of(batch.column(0), seed)))
-            if sum(len(columns[0]) for columns in held) >= FLUSH:
-                yield sums_of(*map(np.concatenate, zip(*held, strict=True)))
-                held = []
+            columns = keys_of(*tokens_of(batch.column(0), seed))
+            held = held or [[] for _ in columns]
+            for part, column in zip(held, columns, strict=True):
+                part.append(column)
+            n += len(columns[0])
+            if n >= FLUSH:
+                yield from sums_of(*taken())
+                n = 0
         if held:
-            yield sums_of(*map(np.concatenate, zip(*held, strict=True)))
+            yield from sums_of(*taken())
 
     return docs.select("text").mapInArrow(run, PARTS)
 
@@ -347,9 +368,9 @@ def _counted(docs: DataFrame, seed: int, keys_of: Callable, sums_of: Callable) -
 def _sums_of(shard_of: Callable) -> Callable:
     """Sums of keys that name their shard."""
 
-    def sums(keys: np.ndarray) -> pa.RecordBatch:
+    def sums(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys, counts = np.unique(keys, return_counts=True)
-        return _split(keys, counts, shard_of(keys))
+        return _split(keys, counts, shard_of(keys).astype(np.int32))
 
     return sums
 
@@ -360,6 +381,21 @@ def _sums_in_shards(keys: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
     return _parts(np.array([s for s, _, _ in found], np.int64), [len(k) for _, k, _ in found], [_pack(k) for _, k, _ in found], [_pack_counts(c) for _, _, c in found])
 
 
+def _shard_by_shard(keys: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The same by some shards at a time, so that sums of few keys are there at once."""
+    rows, n = [], 0
+    for _, some in _by_shard(shard):
+        rows.append(some)
+        n += len(some)
+        if 16 * n >= HELD:
+            some = np.concatenate(rows)
+            yield _sums_in_shards(keys[some], shard[some])
+            rows, n = [], 0
+    if rows:
+        some = np.concatenate(rows)
+        yield _sums_in_shards(keys[some], shard[some])
+
+
 def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _sum_by_key(np.concatenate([_unpack(x) for x in rows["a"]]), np.concatenate([_unpack_counts(x) for x in rows["b"]]))
 
@@ -475,7 +511,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
         at = np.ones(len(ids), bool)
         at[starts[:-1]] = False
         at = np.flatnonzero(at)
-        return model.trigram_keys(place[at - 1], ids[at]), shard[at - 1]
+        return model.trigram_keys(place[at - 1], ids[at]), shard[at - 1].astype(np.int32)
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(rows)
@@ -483,7 +519,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
         _write(folder, f"tri{key[0]}", keys, np.minimum(counts, BYTE).astype(np.uint8), large.astype(np.int64), counts[large].astype(np.int64))
         return pd.DataFrame({"n": [[int((counts == c).sum()) for c in (1, 2, 3, 4)]]})
 
-    counted = _counted(docs, model.seed, keys_of, _sums_in_shards).groupBy("shard").applyInPandas(write, "n array<bigint>")
+    counted = _counted(docs, model.seed, keys_of, _shard_by_shard).groupBy("shard").applyInPandas(write, "n array<bigint>")
     found = counted.select([F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(4)]).first()
     model.discounts = modified_discounts([int(x or 0) for x in found])
 
@@ -498,7 +534,7 @@ def _trigrams(docs: DataFrame, model: Model, summary: Callable, schema: str) ->
                     keys, counts = np.unique(middle * size + known % size, return_counts=True)
                     more = model.of_pairs(*model.places(keys))[0] > 1  # the others have one word before them
                     keys, counts = keys[more], counts[more]
-                    yield _split(keys, counts, (mix(keys) % np.uint64(model.shards)).astype(np.int64))
+                    yield from _split(keys, counts, (mix(keys) % np.uint64(model.shards)).astype(np.int64))
 
     def middle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         s = key[0]
