@@ -1,4 +1,7 @@
-"""A linear probe for each target: logistic regression by plain gradient steps, one task to a target, and its use on all rows."""
+"""A linear probe for each target: logistic regression by plain gradient steps, and its use on all rows.
+
+A target of few labels is one task's work.  The labels of larger ones are spread as blocks over all tasks: a step is a
+pass over these that sends back sums as long as the weights, of all targets and folds at once."""
 
 from __future__ import annotations
 
@@ -10,6 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.operators.ranking import rank_sum_auc, running_by_range
+from sigloom.sources.folders import ready_checkpoints
+
+#: Labels up to which a target is one task's work; labels of a block of larger ones.
+ALONE, BLOCK = 20_000, 4096
 #: Fixed values of the fit.
 STEPS, RATE, DECAY, FOLDS, LEAST_EACH = 300, 0.5, 1.0, 5, 20
 #: Precision from which a probe adds, and the least score that may; recall that a veto keeps, and the
@@ -46,14 +54,20 @@ def thresholds(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return min(max(good[-1] if len(good) else 1.01, ADD_FLOOR), 0.99), max(min(veto, VETO_CEIL), 0.0)
 
 
+MODEL = "target bigint, n bigint, auc double, enabled boolean, weights array<double>, bias double, add_t double, veto_t double"
+
+
 def train_targets(rows: DataFrame) -> DataFrame:
     """rows (target, id, y, x array<double>) -> target, n, auc by folds of the id's hash, enabled, weights, bias and the
-    thresholds by the folds' scores.
-
-    A target's labels are a bounded group (people or rules make them), so each target is one task's work.
-    """
+    thresholds by the folds' scores.  Targets with more than ALONE labels are fitted by all tasks together."""
     folded = rows.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int"))
+    large = [r.target for r in rows.groupBy("target").count().where(F.col("count") > ALONE).collect()]  # as few as targets are trained
+    if not large:
+        return _train_alone(folded)
+    return _train_alone(folded.where(~F.col("target").isin(large))).union(_train_spread(folded.where(F.col("target").isin(large))))
+
 
+def _train_alone(folded: DataFrame) -> DataFrame:
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         x, y, fold = np.stack(part["x"].to_numpy()), part["y"].to_numpy(float), part["fold"].to_numpy()
@@ -68,7 +82,85 @@ def train_targets(rows: DataFrame) -> DataFrame:
         add, veto = thresholds(1 / (1 + np.exp(-scores)), y) if enough else (0.99, 0.0)
         return pd.DataFrame({"target": [key[0]], "n": [len(y)], "auc": [auc], "enabled": [bool(enough and auc >= 0.9)], "weights": [w.tolist()], "bias": [b], "add_t": [add], "veto_t": [veto]})
 
-    return folded.groupBy("target").applyInPandas(one, "target bigint, n bigint, auc double, enabled boolean, weights array<double>, bias double, add_t double, veto_t double")
+    return folded.groupBy("target").applyInPandas(one, MODEL)
+
+
+def _train_spread(folded: DataFrame) -> DataFrame:
+    """The same fits, each step a sum over blocks of labels; scores are ranked by range."""
+    spark = folded.sparkSession
+    ready_checkpoints(spark)
+    totals: dict[int, np.ndarray] = {}  # labels and positives of each fold
+    for r in folded.groupBy("target", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect():
+        totals.setdefault(r.target, np.zeros((FOLDS, 2)))[r.fold] = r.n, r.pos
+    parts = -(-int(max(t[:, 0].sum() for t in totals.values())) // BLOCK)
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(part["x"].to_numpy()).astype(np.float64)
+        return pd.DataFrame({"target": [key[0]], "y": [part["y"].to_numpy(np.float64).tobytes()], "fold": [part["fold"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "size": [x.shape[1]]})
+
+    dealt = folded.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts)))
+    blocks = dealt.groupBy("target", "part").applyInPandas(pack, "target bigint, y binary, fold binary, x binary, size int").checkpoint().persist()
+    size = blocks.agg(F.max("size")).first()[0]
+    # A column of weights, the bias last, for each fold that is left out and for none.
+    fitted = {t: np.zeros((size + 1, FOLDS + 1)) for t in totals}
+    counts = {t: np.append(c[:, 0].sum() - c[:, 0], c[:, 0].sum()) for t, c in totals.items()}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                buffer = lambda name, kind: np.frombuffer(batch.column(name)[k].as_buffer(), kind)  # noqa: E731, B023
+                y = buffer("y", np.float64)
+                yield batch.column("target")[k].as_py(), y, buffer("fold", np.int64), buffer("x", np.float64).reshape(len(y), -1)
+
+    def slopes(now: dict[int, np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for target, y, fold, x in read(batches):
+                w = now[target]
+                error = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y[:, None]
+                error[np.arange(len(y)), fold] = 0  # rows of the fold that is left out
+                sums[target] = sums.get(target, 0) + np.vstack([x.T @ error, error.sum(axis=0)])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["target", "sums"])
+
+        return blocks.mapInArrow(run, "target bigint, sums binary")
+
+    for _ in range(STEPS):
+        slope = {t: np.zeros_like(w) for t, w in fitted.items()}
+        for r in slopes(fitted).collect():  # as long as the weights, from each task
+            slope[r.target] += np.frombuffer(r.sums, np.float64).reshape(size + 1, -1)
+        for t, w in fitted.items():
+            n = np.maximum(counts[t], 1)
+            w[:-1] -= RATE * (slope[t][:-1] / n + DECAY * w[:-1] / n)
+            w[-1] -= RATE * slope[t][-1] / n
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for target, y, fold, x in read(batches):
+            w = fitted[target]
+            s = (x @ w[:-1] + w[-1])[np.arange(len(y)), fold]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), target)), pa.array(y), pa.array(s)], names=["target", "y", "score"])
+
+    scores = blocks.mapInArrow(scored, "target bigint, y double, score double").checkpoint()
+    found = []
+    for t, c in totals.items():
+        n, pos = int(c[:, 0].sum()), int(c[:, 1].sum())
+        enough, auc, cuts = min(pos, n - pos) >= LEAST_EACH, float("nan"), (0.99, 0.0)
+        if enough:
+            mine = scores.where(F.col("target") == t).select("y", "score")
+            auc, cuts = rank_sum_auc(mine).first().auc, _thresholds_by_range(mine.select("y", (1 / (1 + F.exp(-F.col("score")))).alias("p")), n, pos)
+        found.append((t, n, auc, bool(enough and auc >= 0.9), fitted[t][:-1, -1].tolist(), float(fitted[t][-1, -1]), *cuts))
+    blocks.unpersist()
+    return spark.createDataFrame(found, MODEL)
+
+
+def _thresholds_by_range(rows: DataFrame, n: int, positives: int) -> tuple[float, float]:
+    """``thresholds`` of rows (y, p), n of them, by running sums over ranges of p."""
+    counts = rows.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
+    found, above = positives - F.col("before_pos"), n - F.col("before_n")  # from this score up
+    good = (found >= ADD_PRECISION * above) & (found >= LEAST_FOUND)
+    at = max(0, int((1 - VETO_RECALL) * positives) - 1)
+    vetoed = (F.col("before_pos") <= at) & (F.col("before_pos") + F.col("pos") > at)
+    cut = running_by_range(counts, "p", "n", "pos").agg(F.min(F.when(good, F.col("p"))).alias("add"), F.min(F.when(vetoed, F.col("p"))).alias("veto")).first()
+    return min(max(1.01 if cut.add is None else cut.add, ADD_FLOOR), 0.99), max(min(cut.veto, VETO_CEIL), 0.0)
 
 
 def apply_probe(rows: DataFrame, models: DataFrame) -> DataFrame:
