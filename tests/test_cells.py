@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from sigloom import registry
 from sigloom.operators import merging, similarity
@@ -23,6 +24,15 @@ def test_matrices_travel_by_strips(spark, monkeypatch):
     assert sum(len(r.meets) for r in cells if r.side) == n * n
 
 
+def test_a_task_takes_one_cell(spark, monkeypatch):
+    """A task holds the matrices of two strips, however many there are."""
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    blocks = similarity._blocks(table(spark, clustered(400, 5, 3.0)), "id", "v")
+    pairs = similarity.block_pairs(blocks, blocks, -2.0).checkpoint()
+    tasks = similarity._cells(pairs, blocks, blocks).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("cell").alias("cells")).collect()
+    assert len(tasks) == similarity.STRIPS**2 and {r.cells for r in tasks} == {1}
+
+
 def test_nearest_take_the_least_id_of_equals():
     rng = np.random.default_rng(0)
     one, two = rng.normal(size=(600, 5)), rng.normal(size=(90, 5))
